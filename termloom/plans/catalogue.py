@@ -1,4 +1,8 @@
-"""The catalogue of queries: name to function of (session, data directory)."""
+"""The catalogue of queries: name to function of (session, data directory).
+
+Queries without a word of their own run over the whole ``documents`` table; the words,
+phrases and patterns they ask for are given once, below, and used by the SQL too.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,458 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import heavy_keys
-from ..session import table
+from ..functions.similarity import edit_distance, indel_ratio
+from ..operators import boolean, compare, dictionary, heavy_keys, index, lemmas, phrase, spelling, tolerant, wildcard
+from ..operators.preprocess import PreprocessConfig, changed_map, exploded, final_tokens, preprocess, stem_tokens
+from ..session import scratch, table
+from ..sources import documents as sources
+from ..sources import index_store
+from ..streaming import postings as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BOOLEAN = {
+    "bool_and": "query AND posting",
+    "bool_or": "vaccine OR verdict",
+    "bool_not": "NOT the",
+    "bool_nested": "(vaccine OR query) AND NOT (index OR ward)",
+    "bool_implicit_and": "query index NOT posting",
+    "bool_precedence": "vaccine OR query AND posting",
+    "bool_double_not": "NOT NOT vaccine",
+    "bool_invalid": "(query AND",
+    "bool_empty": "  ",
+}
+PHRASES = {"phrase_biword": "mean average precision", "phrase_positional": "posting list", "phrase_single": "vaccine", "phrase_long": "the team of"}
+WILDCARDS = {"wildcard_prefix": "vacc*", "wildcard_suffix": "*tion", "wildcard_infix": "*stem*", "wildcard_middle": "qu*y", "wildcard_short": "s*m", "wildcard_multi": "re*i*al"}
+KEYS = ["query", "vaccine", "zzz", "aaa", "kgram"]
+RANGE, PREFIX = ("inf", "inz"), "post"
+MISSPELLED = ["vacine", "qurey", "retreival", "vaccine", "precison", "xqzwv"]
+COSINE = ["boolean query posting list", "vaccine trial", "court verdict zzzz"]
+TFIDF_DIGITS = 6
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_inverted_index(docs(spark, d))
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return exploded(final_tokens(docs(spark, d))).select(F.col("token").alias("term")).distinct()
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_positions(docs(spark, d))
+
+
+def _biwords(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_biword_index(docs(spark, d))
+
+
+def _stage(column: str, **options) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return exploded(preprocess(docs(spark, d), PreprocessConfig(**options)), column)
+
+    run.__doc__ = f"The tokens of the stage {column} of the preprocessing pipeline, with their positions."
+    return run
+
+
+def _boolean(query: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return boolean.boolean_query(query, _postings(spark, d), docs(spark, d))
+
+    run.__doc__ = f"Documents of the boolean query {query!r}."
+    return run
+
+
+def bool_setops(spark: SparkSession, d: str) -> DataFrame:
+    """(query AND posting) or not the, by intersect, union and except."""
+    p = _postings(spark, d)
+    return boolean.and_by_sets(["query", "posting"], p).union(boolean.not_by_sets("list", p, docs(spark, d))).distinct()
+
+
+def bool_terms_and(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of all of three terms."""
+    return boolean.boolean_and(["query", "posting", "list"], _postings(spark, d))
+
+
+def bool_terms_or(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of any of three terms."""
+    return boolean.boolean_or(["query", "posting", "list"], _postings(spark, d))
+
+
+# preprocessing
+
+
+def tok_treebank(spark: SparkSession, d: str) -> DataFrame:
+    """Final tokens by the Treebank-like tokenizer."""
+    return _stage("final_tokens", tokenizer="treebank")(spark, d)
+
+
+def stem_porter(spark: SparkSession, d: str) -> DataFrame:
+    """The Porter stem of every term of the vocabulary."""
+    return _vocabulary(spark, d).select("term", stem_tokens(F.array("term"))[0].alias("stem"))
+
+
+def stem_snowball(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of every term by the second algorithm."""
+    return _vocabulary(spark, d).select("term", stem_tokens(F.array("term"), "snowball")[0].alias("stem"))
+
+
+def stem_map(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's changed tokens with their stems."""
+    out = final_tokens(docs(spark, d)).withColumn("stems", stem_tokens(F.col("final_tokens")))
+    return out.select("doc_id", F.explode(changed_map(F.col("final_tokens"), F.col("stems"))).alias("token", "stem"))
+
+
+def lemma(spark: SparkSession, d: str) -> DataFrame:
+    """The lemma of every term that has another, as a noun else as a verb."""
+    return lemmas.lemma_or_verb(_vocabulary(spark, d).withColumnRenamed("term", "token"))
+
+
+def lemma_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Final tokens, lemmatized and then stemmed."""
+    return exploded(final_tokens(docs(spark, d), PreprocessConfig(do_lemma=True, do_stem=True)))
+
+
+# indexes and their tables
+
+
+def doc_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Words, characters and beginning of every document."""
+    return index.collection_preview(docs(spark, d))
+
+
+def collection_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words of the collection."""
+    return index.collection_totals(docs(spark, d))
+
+
+def majority_language(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest language of the collection."""
+    return index.majority(table(spark, d, "documents"), "lang")
+
+
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Final tokens of every document."""
+    return index.build_doc_lengths(docs(spark, d))
+
+
+def inv_set(spark: SparkSession, d: str) -> DataFrame:
+    """The set-valued inverted index."""
+    return index.build_inverted_set(docs(spark, d))
+
+
+def inv_set_table(spark: SparkSession, d: str) -> DataFrame:
+    """Its display table."""
+    return index.index_to_df(index.build_inverted_set(docs(spark, d)))
+
+
+def inv_tf_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index with term frequencies."""
+    return _postings(spark, d)
+
+
+def inv_tf_table(spark: SparkSession, d: str) -> DataFrame:
+    """Its display table."""
+    return index.index_to_dataframe(_postings(spark, d))
+
+
+def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Document and collection frequency of every term."""
+    return index.document_frequencies(_postings(spark, d))
+
+
+def tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """TF-IDF weights of the whole index."""
+    weighted = index.compute_tfidf(_postings(spark, d), index.count_docs(docs(spark, d)))
+    return weighted.withColumn("idf", F.round("idf", TFIDF_DIGITS))
+
+
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the inverted index."""
+    return index.index_statistics(docs(spark, d))
+
+
+def index_stats_table(spark: SparkSession, d: str) -> DataFrame:
+    """Their display table."""
+    return index.stats_to_dataframe(index.index_statistics(docs(spark, d)))
+
+
+def top10_df(spark: SparkSession, d: str) -> DataFrame:
+    """The ten terms of most documents."""
+    return index.top_terms(docs(spark, d))
+
+
+def singleton_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of one document."""
+    return index.singleton_terms(docs(spark, d))
+
+
+def vocab(spark: SparkSession, d: str) -> DataFrame:
+    """The sorted vocabulary."""
+    return index.extract_vocabulary(docs(spark, d))
+
+
+def biword_index(spark: SparkSession, d: str) -> DataFrame:
+    """The biword index."""
+    return _biwords(spark, d)
+
+
+def biword_table(spark: SparkSession, d: str) -> DataFrame:
+    """Its display table."""
+    return index.biwords_index_to_dataframe(_biwords(spark, d))
+
+
+def positional_index(spark: SparkSession, d: str) -> DataFrame:
+    """The positional index, positions joined by commas."""
+    return index.build_positional_index(docs(spark, d)).select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def positional_table(spark: SparkSession, d: str) -> DataFrame:
+    """Its display table."""
+    return index.positional_index_to_dataframe(index.build_positional_index(docs(spark, d)))
+
+
+# phrases
+
+
+def _biword_query(spark: SparkSession, d: str) -> DataFrame:
+    return phrase.query_biword(PHRASES["phrase_biword"], _biwords(spark, d))
+
+
+def _positional_query(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return phrase.query_positional(PHRASES[name], _positions(spark, d))
+
+    run.__doc__ = f"Documents with the phrase {PHRASES[name]!r} and its first place."
+    return run
+
+
+def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with all words of a phrase."""
+    return phrase.phrase_candidates(PHRASES["phrase_biword"], _positions(spark, d))
+
+
+def phrase_false_positives(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates without the phrase."""
+    return phrase.false_positives(PHRASES["phrase_long"], _positions(spark, d))
+
+
+def phrase_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of a phrase."""
+    return phrase.phrase_starts(PHRASES["phrase_long"], _positions(spark, d))
+
+
+def phrase_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Both indexes' answers to a phrase, side by side."""
+    return phrase.compare_indexes(PHRASES["phrase_biword"], docs(spark, d), _biwords(spark, d), _positions(spark, d))
+
+
+def phrase_compare_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the notes of compat="observed"."""
+    return phrase.compare_indexes(PHRASES["phrase_biword"], docs(spark, d), _biwords(spark, d), _positions(spark, d), "observed")
+
+
+# dictionary
+
+
+def dict_inorder(spark: SparkSession, d: str) -> DataFrame:
+    """All terms in order."""
+    return dictionary.inorder(_vocabulary(spark, d))
+
+
+def dict_search_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Whether keys are there, and their ranks."""
+    return dictionary.sorted_search(_vocabulary(spark, d), KEYS)
+
+
+def dict_range(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of a range."""
+    return dictionary.range_query(_vocabulary(spark, d), *RANGE)
+
+
+def dict_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of a prefix."""
+    return dictionary.prefix_search(_vocabulary(spark, d), PREFIX)
+
+
+def dict_prefix_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of a prefix with compat="observed"."""
+    return dictionary.prefix_search(_vocabulary(spark, d), PREFIX, "observed")
+
+
+def dict_bst_search(spark: SparkSession, d: str) -> DataFrame:
+    """Whether keys are in the search tree, and the nodes visited."""
+    return dictionary.bst_search(_vocabulary(spark, d), KEYS)
+
+
+def dict_update(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary after an insertion and a deletion."""
+    return dictionary.delete(dictionary.bst_insert(_vocabulary(spark, d), "zzz"), "vaccine")
+
+
+def dict_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of both dictionaries."""
+    return dictionary.tree_stats(_vocabulary(spark, d))
+
+
+def dict_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Depth of every key in the search tree."""
+    return dictionary.bst_depths(_vocabulary(spark, d))
+
+
+# k-grams and wildcards
+
+
+def kgram_index(spark: SparkSession, d: str) -> DataFrame:
+    """The k-gram index."""
+    return index.build_kgram_index(_vocabulary(spark, d))
+
+
+def kgram_top(spark: SparkSession, d: str) -> DataFrame:
+    """The k-grams of most terms."""
+    return index.kgram_index_to_dataframe(_vocabulary(spark, d))
+
+
+def _wildcard(pattern: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        v = _vocabulary(spark, d)
+        return wildcard.query_wildcard(pattern, index.build_kgram_index(v), v)
+
+    run.__doc__ = f"Terms that match {pattern!r}."
+    return run
+
+
+def wildcard_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of a wildcard with compat="observed": none for patterns of longer parts."""
+    v = _vocabulary(spark, d)
+    return wildcard.query_wildcard(WILDCARDS["wildcard_prefix"], index.build_kgram_index(v), v, compat="observed")
+
+
+def wildcard_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a wildcard's terms."""
+    v = _vocabulary(spark, d)
+    return wildcard.documents_of(wildcard.query_wildcard(WILDCARDS["wildcard_prefix"], index.build_kgram_index(v), v), _postings(spark, d))
+
+
+# spelling and sound
+
+
+def _ascii(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.where(F.col("term").rlike("^[a-z]+$"))
+
+
+def edit_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance of each ASCII term to a misspelling."""
+    return _ascii(_vocabulary(spark, d)).select("term", edit_distance(F.col("term"), F.lit(MISSPELLED[0])).cast("bigint").alias("distance"))
+
+
+def indel_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio of each term to a misspelling."""
+    return _vocabulary(spark, d).select("term", indel_ratio(F.col("term"), F.lit(MISSPELLED[0])).alias("score"))
+
+
+def spell_suggest(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for misspelled words."""
+    return spelling.suggestions(MISSPELLED, _vocabulary(spark, d))
+
+
+def spell_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best match of each misspelled word."""
+    return spelling.best_matches(MISSPELLED, _vocabulary(spark, d))
+
+
+def spell_table(spark: SparkSession, d: str) -> DataFrame:
+    """The display table of one word's suggestions."""
+    return spelling.correction_table(MISSPELLED[0], _vocabulary(spark, d))
+
+
+def soundex_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Soundex code of every plain ASCII term."""
+    return spelling.coded(_ascii(_vocabulary(spark, d)))
+
+
+def soundex_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The largest groups of terms of one Soundex code."""
+    return index.phonetic_index_to_dataframe(index.build_phonetic_index(_vocabulary(spark, d)))
+
+
+def metaphone_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The largest groups of terms of one Metaphone code."""
+    return index.phonetic_index_to_dataframe(index.build_phonetic_index(_vocabulary(spark, d), "metaphone"))
+
+
+def phonetic_match(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that sound like a misspelled word, by both methods."""
+    v = _vocabulary(spark, d)
+    return spelling.phonetic_matches(MISSPELLED[0], index.build_phonetic_index(v)).union(spelling.phonetic_matches(MISSPELLED[0], index.build_phonetic_index(v, "metaphone"), "metaphone"))
+
+
+def _tolerant(query: str, what: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p, v = _postings(spark, d), _vocabulary(spark, d)
+        found = tolerant.tolerant_search(query, p, v, index.build_kgram_index(v), index.build_phonetic_index(v), index.build_phonetic_index(v, "metaphone"))
+        return found.docs if what == "docs" else found.terms
+
+    run.__doc__ = f"The {what} of tolerant search for {query!r}."
+    return run
+
+
+# similarity
+
+
+def cosine_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine similarity of queries and documents."""
+    asked = spark.createDataFrame([(q,) for q in COSINE], "query string")
+    return compare.cosine(docs(spark, d), asked).withColumn("sim", F.round("sim", TFIDF_DIGITS))
+
+
+def compare_stem_lemma(spark: SparkSession, d: str) -> DataFrame:
+    """Stemming and lemmatization compared."""
+    return compare.compare_stem_vs_lemma(docs(spark, d), spark.createDataFrame([(q,) for q in COSINE], "query string"))
+
+
+# sources, sinks and streams
+
+
+def source_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with those of another collection put in."""
+    old = table(spark, d, "doc_collection").where("text is not null").select("doc_id", "text").distinct()
+    return sources.upsert(old, docs(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def store_parquet(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index, written and read again."""
+    path = scratch(spark, "index")
+    index_store.save_index(_postings(spark, d), path)
+    return index_store.load_index(spark, path)
+
+
+def store_json(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index, written as JSON and read again."""
+    path = scratch(spark, "json")
+    index_store.export_json(_postings(spark, d), path)
+    return index_store.import_json(spark, path).select("term", F.col("doc_id").cast("bigint").alias("doc_id"), "tf")
+
+
+def stream_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index, built from the documents as a stream."""
+    path = scratch(spark, "stream")
+    source = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
+    stream.start(source.select("doc_id", "text"), f"{path}/postings", f"{path}/checkpoint").awaitTermination()
+    return stream.read(spark, f"{path}/postings")
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Event types in hourly windows."""
+    return stream.windowed_term_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+# heavy keys (problem 1)
+
 
 def _indexes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "positional_index"), table(spark, d, "inverted_index")
@@ -43,13 +494,38 @@ def p1_posting_blocks(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.posting_blocks(*_indexes(spark, d))
 
 
-def heavy_key_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_row_shares, p1_term_totals, p1_merged_postings, p1_posting_blocks)}
-
-
 #: The query that the entry point runs.
-FLAGSHIP = "p1_term_totals"
+FLAGSHIP = "tfidf"
 
 
 def queries() -> dict[str, Query]:
-    return heavy_key_queries()
+    own = (
+        p1_found, p1_row_shares, p1_term_totals, p1_merged_postings, p1_posting_blocks,
+        tok_treebank, stem_porter, stem_snowball, stem_map, lemma, lemma_tokens, doc_preview, collection_totals, majority_language, doc_lengths,
+        inv_set, inv_set_table, inv_tf_postings, inv_tf_table, document_frequencies, tfidf, index_stats, index_stats_table, top10_df, singleton_terms, vocab,
+        biword_index, biword_table, positional_index, positional_table, phrase_candidates, phrase_false_positives, phrase_starts, phrase_compare, phrase_compare_observed,
+        dict_inorder, dict_search_rank, dict_range, dict_prefix, dict_prefix_observed, dict_bst_search, dict_update, dict_stats, dict_depths,
+        kgram_index, kgram_top, wildcard_observed, wildcard_docs, edit_distances, indel_ratios, spell_suggest, spell_best, spell_table,
+        soundex_codes, soundex_groups, metaphone_groups, phonetic_match, cosine_rank, compare_stem_lemma, bool_setops, bool_terms_and, bool_terms_or,
+        source_upsert, store_parquet, store_json, stream_postings, stream_windows,
+    )
+    made = {
+        "tok_simple": _stage("raw_tokens"),
+        "tok_lower": _stage("lower_tokens"),
+        "tok_hyphen": _stage("hyph_tokens"),
+        "tok_alnum_filter": _stage("clean_tokens"),
+        "tok_stopword_kept": _stage("final_tokens"),
+        "tok_stopword_removed": _stage("removed_sw"),
+        "tok_case_kept": _stage("final_tokens", lowercase=False, handle_hyph=False, rm_stopwords=False),
+        "phrase_biword": _biword_query,
+        **{name: _positional_query(name) for name in PHRASES if name != "phrase_biword"},
+        **{name: _boolean(q) for name, q in BOOLEAN.items()},
+        **{name: _wildcard(p) for name, p in WILDCARDS.items()},
+        "tolerant_wildcard": _tolerant("Vacc*", "docs"),
+        "tolerant_exact": _tolerant(" Vaccine ", "docs"),
+        "tolerant_corrected": _tolerant(MISSPELLED[0], "terms"),
+        "tolerant_corrected_docs": _tolerant(MISSPELLED[0], "docs"),
+    }
+    for name, f in made.items():
+        f.__name__ = name
+    return {f.__name__: f for f in own} | made

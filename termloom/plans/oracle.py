@@ -1,7 +1,140 @@
-"""SQL equivalents of the catalogue's queries, for DuckDB over the same tables."""
+"""SQL equivalents of the catalogue's queries, for DuckDB over the same tables.
+
+Each is written on its own from the definition of its query, from the tables up.
+"""
 
 from __future__ import annotations
 
+from ..functions import text as T
+from ..operators.phrase import NOTES
+from . import catalogue as c
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(words) -> str:
+    return "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+_WORDS = f"""
+with docs as (
+    select doc_id, coalesce(text, '') as text from documents
+), raw as (
+    select doc_id, list_filter(list_transform(regexp_split_to_array(text, {_quoted(T.BLANKS)}), lambda x: regexp_replace(x, {_quoted(T.EDGES)}, '', 'g')), lambda x: x <> '') as raw_tokens from docs
+), low as (
+    select *, list_transform(raw_tokens, lambda x: lower(x)) as lower_tokens from raw
+), hyp as (
+    select *, flatten(list_transform(lower_tokens, lambda t: case when contains(t, '-') then list_concat([t], string_split(t, '-')) else [t] end)) as hyph_tokens from low
+), cln as (
+    select *, list_filter(hyph_tokens, lambda t: regexp_matches(t, '[a-zA-Z0-9]')) as clean_tokens from hyp
+), fin as (
+    select doc_id, raw_tokens, lower_tokens, hyph_tokens, clean_tokens,
+           list_filter(clean_tokens, lambda t: lower(t) not in {_list(T.STOP_WORDS)}) as final_tokens,
+           list_filter(clean_tokens, lambda t: lower(t) in {_list(T.STOP_WORDS)}) as removed_sw,
+           list_filter(lower_tokens, lambda t: regexp_matches(t, '[a-z0-9]')) as phrase_tokens
+    from cln
+), toks as (
+    select doc_id, unnest(final_tokens) as term, unnest(range(len(final_tokens))) as pos from fin
+), post as (
+    select term, doc_id, count(*) as tf from toks group by all
+), freq as (
+    select term, count(*) as df, sum(tf)::bigint as cf from post group by term
+), vocabulary as (
+    select distinct term from toks
+), places as (
+    select doc_id, unnest(phrase_tokens) as term, unnest(range(len(phrase_tokens))) as pos from fin
+), bi as (
+    select distinct a.term || ' ' || b.term as biword, a.doc_id as doc_id from places a join places b on a.doc_id = b.doc_id and b.pos = a.pos + 1
+), grams as (
+    select term, i, substring('$' || term || '$', i::int, 3) as kgram from (select term, unnest(range(1, length(term) + 1)) as i from vocabulary)
+)"""
+
+
+def _stage(column: str) -> str:
+    return f"{_WORDS} select doc_id, unnest(range(len({column})))::int as pos, unnest({column}) as token from fin"
+
+
+def _has(term: str) -> str:
+    return f"doc_id in (select doc_id from post where term = {_quoted(term)})"
+
+
+def _bool(condition: str) -> str:
+    return f"{_WORDS} select doc_id from docs where {condition}"
+
+
+def _starts(phrase: str) -> str:
+    words = phrase.split()
+    joins = "".join(f" join places p{i} on p{i}.doc_id = p0.doc_id and p{i}.pos = p0.pos + {i} and p{i}.term = {_quoted(w)}" for i, w in enumerate(words) if i)
+    return f"select distinct p0.doc_id as doc_id, p0.pos as start from places p0{joins} where p0.term = {_quoted(words[0])}"
+
+
+def _positional(phrase: str) -> str:
+    return f"{_WORDS} select doc_id, min(start)::int as start from ({_starts(phrase)}) group by doc_id"
+
+
+def _candidates(phrase: str) -> str:
+    words = set(phrase.split())
+    return " intersect ".join(f"select doc_id from places where term = {_quoted(w)}" for w in sorted(words))
+
+
+def _by_biwords(phrase: str) -> str:
+    words = phrase.split()
+    return " intersect ".join(f"select doc_id from bi where biword = {_quoted(a + ' ' + b)}" for a, b in zip(words, words[1:]))
+
+
+def _compare(phrase: str, observed: bool) -> str:
+    wrong = "fp" if observed else "fp and bw"
+    return f"""{_WORDS}, found as (
+        select doc_id, doc_id in ({_by_biwords(phrase)}) as bw, doc_id in (select doc_id from ({_starts(phrase)})) as ps,
+               doc_id in ({_candidates(phrase)}) and doc_id not in (select doc_id from ({_starts(phrase)})) as fp
+        from (select distinct doc_id from docs))
+        select doc_id as "Document", if(bw, '✅', '❌') as "Biword Match", if(ps, '✅', '❌') as "Positional Match",
+               case when {wrong} then {_quoted(NOTES["false"])} when bw and ps then {_quoted(NOTES["both"])} when ps then {_quoted(NOTES["positional"])}
+                    when bw then {_quoted(NOTES["biword"])} else {_quoted(NOTES["none"])} end as "Note" from found"""
+
+
+def _keys() -> str:
+    return "(values " + ", ".join(f"({_quoted(k)})" for k in c.KEYS) + ") k(query)"
+
+
+_FIRST = """, seen as (select term, count(distinct doc_id) as df, min(doc_id * 4294967296 + pos) as first from toks group by term)"""
+
+_STATS = (
+    _FIRST
+    + """, stats as (
+    select count(*) as vocab_size, coalesce(sum(df), 0)::bigint as total_postings, coalesce(round(avg(df), 2), 0.0) as avg_df,
+           (select term from seen order by df desc, first limit 1) as max_df_term, (select term from seen order by df, first desc limit 1) as min_df_term,
+           count(*) filter (df = 1) as singleton_terms, (select count(*) from docs) as doc_count from seen)"""
+)
+
+_METRICS = (("Vocabulary Size", "vocab_size"), ("Total Postings", "total_postings"), ("Document Count", "doc_count"), ("Average Document Frequency", "avg_df"), ("Max DF Term", "max_df_term"), ("Min DF Term", "min_df_term"), ("Singleton Terms", "singleton_terms"))
+
+_BST = f"""{_WORDS}, tree as (select term, md5(term) as prio from vocabulary),
+asked as (select query, (select prio from tree where term = query) as lim from {_keys()}),
+sides as (select query, lim, term, prio, term < query as below from tree, asked where term <> query),
+walked as (
+    select query, prio, lim, case when below then min(prio) over (partition by query, below order by term desc rows between unbounded preceding and 1 preceding)
+                                  else min(prio) over (partition by query, below order by term rows between unbounded preceding and 1 preceding) end as least
+    from sides)
+select query, lim is not null as found, ((select count(*) from walked w where w.query = asked.query and (w.least is null or w.prio < w.least) and (w.lim is null or w.prio < w.lim))
+       + if(lim is not null, 1, 0))::bigint as comparisons from asked"""
+
+_VECTORS = f"""{_WORDS}, spaced as (
+    select doc_id, unnest(regexp_extract_all(lower(array_to_string(final_tokens, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from fin
+), tf as (select doc_id, term, count(*) as tf from spaced group by all),
+idf as (select term, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf from tf group by term),
+w as (select doc_id, term, tf * idf as w from tf join idf using (term)),
+norm as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id),
+asked as (select query, unnest(list_filter(list_transform(string_split(query, ' '), lambda x: lower(x)), lambda x: x not in {_list(T.STOP_WORDS)})) as term from (values {", ".join(f"({_quoted(q)})" for q in c.COSINE)}) q(query)),
+wq as (select query, term, count(*) * any_value(idf) as w from asked join idf using (term) group by all),
+nq as (select query, sqrt(sum(w * w)) as norm from wq group by query)
+select wq.query as query, w.doc_id as doc_id, round(sum(w.w / norm.norm * (wq.w / nq.norm)), {c.TFIDF_DIGITS}) as sim
+from w join wq using (term) join norm on norm.doc_id = w.doc_id join nq on nq.query = wq.query group by all"""
+
+_POSTINGS = "select term, doc_id, tf from post"
+
 _STATES = """
 with pos as (
     select term, doc_id, count(*) as n_rows, list_sort(list_distinct(flatten(list(positions) filter (positions is not null)))) as positions
@@ -33,4 +166,91 @@ def heavy_key_sql() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return heavy_key_sql()
+    w = _WORDS
+    ids = lambda key, source: f"string_agg({key}, ', ' order by {source})"
+    wild = lambda p: p.replace("*", "%")
+    return heavy_key_sql() | {
+        "tok_simple": _stage("raw_tokens"),
+        "tok_lower": _stage("lower_tokens"),
+        "tok_hyphen": _stage("hyph_tokens"),
+        "tok_alnum_filter": _stage("clean_tokens"),
+        "tok_stopword_kept": _stage("final_tokens"),
+        "tok_stopword_removed": _stage("removed_sw"),
+        "tok_case_kept": f"{w}, own as (select doc_id, list_filter(raw_tokens, lambda t: regexp_matches(t, '[a-zA-Z0-9]')) as own from fin) select doc_id, unnest(range(len(own)))::int as pos, unnest(own) as token from own",
+        "doc_preview": f"""{w} select doc_id, len(list_filter(regexp_split_to_array(text, {_quoted(T.BLANKS)}), lambda x: x <> ''))::bigint as words, length(text)::bigint as chars,
+            replace(substring(text, 1, 120), chr(10), ' ') || if(length(text) > 120, '…', '') as preview from docs""",
+        "collection_totals": f"{w} select count(*) as documents, coalesce(sum(len(list_filter(regexp_split_to_array(text, {_quoted(T.BLANKS)}), lambda x: x <> ''))), 0)::bigint as words from docs",
+        "majority_language": "select lang, count(*) as n from documents where lang is not null group by lang order by n desc, lang limit 1",
+        "doc_lengths": f"{w} select doc_id, len(final_tokens)::bigint as n from fin",
+        "inv_set": f"{w} select distinct term, doc_id from toks",
+        "inv_set_table": f"""{w} select term as "Term", count(*) as "Doc Frequency", {ids("doc_id::varchar", "doc_id")} as "Posting List" from post group by term""",
+        "inv_tf_postings": f"{w} {_POSTINGS}",
+        "inv_tf_table": f"""{w} select term as "Term", count(*) as "Document Frequency", sum(tf)::bigint as "Term Frequency", {ids("doc_id::varchar || '(' || tf::varchar || ')'", "doc_id")} as "Posting List" from post group by term""",
+        "document_frequencies": f"{w} select term, df, cf from freq",
+        "tfidf": f"{w} select term, doc_id, tf, df, round(ln((select count(*) from docs) / df), {c.TFIDF_DIGITS}) as idf, round(tf * ln((select count(*) from docs) / df), 6) as tfidf from post join freq using (term)",
+        "index_stats": f"{w}{_STATS} select * from stats",
+        "index_stats_table": f"{w}{_STATS} " + " union all ".join(f"""select '{m}' as "Metric", {col}::varchar as "Value" from stats""" for m, col in _METRICS),
+        "top10_df": f"{w}{_FIRST} select term, df from seen order by df desc, first limit 10",
+        "singleton_terms": f"{w} select term from freq where df = 1",
+        "vocab": f"{w} select term from vocabulary",
+        "biword_index": f"{w} select biword, doc_id from bi",
+        "biword_table": f"""{w} select biword as "Biwords", count(*) as "Document Frequency", {ids("doc_id::varchar", "doc_id")} as "Posting List" from bi group by biword""",
+        "positional_index": f"{w} select term, doc_id, string_agg(pos::varchar, ',' order by pos) as positions from places group by all",
+        "positional_table": f"""{w} select term as "Term", doc_id as "Document", '[' || string_agg(pos::varchar, ', ' order by pos) || ']' as "Positions", count(*) as "Document frequency" from places group by all""",
+        "phrase_biword": f"{w} {_by_biwords(c.PHRASES['phrase_biword'])}",
+        **{name: _positional(p) for name, p in c.PHRASES.items() if name != "phrase_biword"},
+        "phrase_candidates": f"{w} {_candidates(c.PHRASES['phrase_biword'])}",
+        "phrase_false_positives": f"{w} select doc_id from ({_candidates(c.PHRASES['phrase_long'])}) where doc_id not in (select doc_id from ({_starts(c.PHRASES['phrase_long'])}))",
+        "phrase_starts": f"{w} select doc_id, start::int as start from ({_starts(c.PHRASES['phrase_long'])})",
+        "phrase_compare": _compare(c.PHRASES["phrase_biword"], False),
+        "phrase_compare_observed": _compare(c.PHRASES["phrase_biword"], True),
+        "dict_inorder": f"{w} select term from vocabulary order by term",
+        "dict_search_rank": f"{w} select query, query in (select term from vocabulary) as found, (select count(*) from vocabulary where term < query) as idx from {_keys()}",
+        "dict_range": f"{w} select term from vocabulary where term between {_quoted(c.RANGE[0])} and {_quoted(c.RANGE[1])}",
+        "dict_prefix": f"{w} select term from vocabulary where starts_with(term, {_quoted(c.PREFIX)})",
+        "dict_prefix_observed": f"{w} select term from vocabulary where term between {_quoted(c.PREFIX)} and {_quoted(c.PREFIX[:-1] + chr(ord(c.PREFIX[-1]) + 1))}",
+        "dict_bst_search": _BST,
+        "dict_update": f"{w} select term from (select term from vocabulary union select 'zzz') where term <> 'vaccine'",
+        "kgram_index": f"{w} select distinct kgram, term from grams",
+        "kgram_top": f"""{w}, top as (select kgram, count(distinct term) as n, min(term) as first_term from grams group by kgram),
+            firsts as (select top.kgram, n, first_term, min(i) as i from top join grams on grams.kgram = top.kgram and grams.term = first_term group by all order by n desc, first_term, i limit 50)
+            select kgram as "K-gram", n as "Terms", (select array_to_string(list_slice(list_sort(list(distinct term)), 1, 10), ', ') from grams g where g.kgram = firsts.kgram) as "Vocabulary" from firsts""",
+        **{name: f"{w} select term from vocabulary where term like {_quoted(wild(p))}" for name, p in c.WILDCARDS.items()},
+        "wildcard_observed": f"{w} select term from vocabulary where false",
+        "wildcard_docs": f"{w} select distinct doc_id from post where term like {_quoted(wild(c.WILDCARDS['wildcard_prefix']))}",
+        "edit_distances": f"{w} select term, levenshtein(term, {_quoted(c.MISSPELLED[0])})::bigint as distance from vocabulary where regexp_matches(term, '^[a-z]+$')",
+        "soundex_codes": rf"""{w}, plain as (select term from vocabulary where regexp_matches(term, '^[a-z]+$')),
+            digits as (select term, upper(substring(term, 1, 1)) as head, translate(upper(regexp_replace(term, '[hw]', '', 'g')), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000') as rest,
+                              translate(upper(substring(term, 1, 1)), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000099') as own from plain),
+            whole as (select term, head, case when own = '9' then '9' || rest else rest end as rest from digits),
+            once as (select term, head, list_filter(string_split(rest, ''), lambda x: x <> '') as d from whole)
+            select term, substring(head || array_to_string(list_filter(list_transform(range(2, len(d) + 1), lambda i: case when d[i] <> d[i - 1] and d[i] <> '0' then d[i] else '' end), lambda x: x <> ''), '') || '000', 1, 4) as code from once""",
+        **_boolean_sql(),
+        "bool_setops": f"{w} select doc_id from post where term = 'query' intersect select doc_id from post where term = 'posting' union (select doc_id from docs except select doc_id from post where term = 'list')",
+        "bool_terms_and": f"{w} select doc_id from post where term in ('query', 'posting', 'list') group by doc_id having count(distinct term) = 3",
+        "bool_terms_or": f"{w} select distinct doc_id from post where term in ('query', 'posting', 'list')",
+        "tolerant_wildcard": f"{w} select distinct doc_id from post where term like 'vacc%'",
+        "tolerant_exact": f"{w} select distinct doc_id from post where term = 'vaccine'",
+        "cosine_rank": _VECTORS,
+        "source_upsert": """select distinct doc_id, text from doc_collection where text is not null and doc_id not in (select doc_id::varchar from documents)
+            union all select doc_id::varchar, text from documents""",
+        "store_parquet": f"{w} {_POSTINGS}",
+        "store_json": f"{w} {_POSTINGS}",
+        "stream_postings": f"{w} {_POSTINGS}",
+        "stream_windows": """select time_bucket(interval 1 hour, ts) as start, time_bucket(interval 1 hour, ts) + interval 1 hour as "end", event_type, count(*) as n from events group by all""",
+    }
+
+
+def _boolean_sql() -> dict[str, str]:
+    h = _has
+    return {
+        "bool_and": _bool(f"{h('query')} and {h('posting')}"),
+        "bool_or": _bool(f"{h('vaccine')} or {h('verdict')}"),
+        "bool_not": _bool(f"not {h('the')}"),
+        "bool_nested": _bool(f"({h('vaccine')} or {h('query')}) and not ({h('index')} or {h('ward')})"),
+        "bool_implicit_and": _bool(f"{h('query')} and {h('index')} and not {h('posting')}"),
+        "bool_precedence": _bool(f"{h('vaccine')} or ({h('query')} and {h('posting')})"),
+        "bool_double_not": _bool(h("vaccine")),
+        "bool_invalid": _bool("false"),
+        "bool_empty": _bool("false"),
+    }
