@@ -38,11 +38,13 @@ BUCKETS = 1 << 16
 #: Additive smoothing of the bigram counts.
 SMOOTH = 0.02
 #: Log odds that a word needs at once, and that a document's words need together, to count as garbled by one-byte encodings.
-WORD_ODDS, DOC_ODDS = 9.0, 14.0
+WORD_ODDS, DOC_ODDS = 9.0, 10.0
 #: Log odds that a word needs where UTF-8 was misread, whose strict decoding is proof of its own.
-UTF8_ODDS = 5.0
-#: Log odds under which a word has no vote.
-VOTE = 4.0
+UTF8_ODDS = 2.0
+#: Log odds under which a word has no vote, for one-byte encodings and for misread UTF-8.
+VOTE, UTF8_VOTE = 4.0, 1.0
+#: Taken from the odds where Latin letters would only stand for other Latin letters, as a slip of the pen also makes them.
+LATIN_DOUBT = 4.0
 #: Votes that a question mark between letters gives to every chain with a vote.
 LOST_VOTE = 4.0
 #: Rounds of undoing repeated garbling.
@@ -180,14 +182,26 @@ def invert(word: str, chain: Chain) -> str | None:
     return word if all(map(_usual, word)) else None
 
 
-#: A stretch of letters, long enough to be told from a sign.
-_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Cyrillic letters that look Latin; alone within Latin words they are a disguise, not a wrong encoding.
+_LOOK_LATIN = set("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅ")
+
+
+def _natural(run: str) -> bool:
+    """Whether a run of letters is of one script and written small, capital or with a capital first."""
+    cyrillic = sum("\u0400" <= c <= "\u052f" for c in run)
+    return cyrillic in (0, len(run)) and (run[1:].islower() or run.isupper() or len(run) == 1)
 
 
 def sound(word: str, chain: Chain) -> bool:
-    """Whether the chain can be undone in the word; one-byte chains, of which any byte decodes, must also give a word of three letters."""
+    """Whether the chain can be undone in the word. One-byte chains, of which any byte decodes, must also give natural words, one of them of changed letters and not all too short."""
     before = invert(word, chain)
-    return before is not None and (chain[0][0] == "utf-8" or "\xa0" not in word and any(not m.group().isascii() for m in _LETTERS.finditer(before)))
+    if before is None or chain[0][0] == "utf-8":
+        return before is not None
+    if "\xa0" in word or not any(map(str.isalpha, word)) or all(c < "\x80" or c in _LOOK_LATIN for c in word):
+        return False
+    runs = [m.group() for m in _LETTERS.finditer(before)]
+    return all(map(_natural, runs)) and any(not r.isascii() and len(r) >= (2 if r > "\u0400" else 3) for r in runs)
 
 
 def _bigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -218,8 +232,12 @@ def _capitals(word: str) -> bool:
     return word.upper() == word and not _symbols(word)
 
 
+def _cyrillic_capitals(word: str) -> bool:
+    return _cyrillic(word) and _capitals(word)
+
+
 #: Untouched words are modelled by kind, so that a rare script or sign isn't held against a word.
-KINDS = (_any, _cyrillic, _greek, _symbols, _capitals)
+KINDS = (_any, _cyrillic, _greek, _symbols, _capitals, _cyrillic_capitals)
 
 
 def _bytes(word: str) -> bytes:
@@ -263,6 +281,13 @@ class Model:
         return s[len(KINDS) :] - s[: len(KINDS)].max()
 
 
+_LEAST = np.array([UTF8_VOTE if chain[0][0] == "utf-8" else VOTE for chain in CHAINS])
+
+
+_CYRILLIC_FIRST = ("koi8-r", "cp1251", "cp866")
+_LATIN = np.array([0.0 if chain[0][0] in ("utf-8", *_CYRILLIC_FIRST) else LATIN_DOUBT for chain in CHAINS], np.float32)
+
+
 @dataclass
 class Verdict:
     garbled: bool
@@ -278,10 +303,12 @@ class Judge:
         self.model, self.seen = model, {}
 
     def word(self, w: str) -> list[tuple[int, float]]:
-        """Chains that strictly invert the word, with their log odds, those of at least VOTE."""
+        """Chains that strictly invert the word, with their log odds, those high enough for a vote."""
         if (known := self.seen.get(w)) is None:
             odds = self.model.odds(w)
-            known = [(int(k), float(odds[k])) for k in np.flatnonzero(odds >= VOTE) if sound(w, CHAINS[k])]
+            if all(c < "\x80" or c < "\u0250" and c.isalpha() for c in w):
+                odds -= _LATIN
+            known = [(int(k), float(odds[k])) for k in np.flatnonzero(odds >= _LEAST) if sound(w, CHAINS[k])]
             if len(self.seen) > 200_000:
                 self.seen.clear()
             self.seen[w] = known
