@@ -19,7 +19,7 @@ def _decoded(content: pd.Series) -> pd.Series:
 def read_uploads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Text and CSV files as documents, one a file, whole: doc_id is the file's name, invalid UTF-8 is passed over, the first file of a name wins.
 
-    Order is by path. An empty file is an empty document.
+    Order is by a hash of the path. Files of no bytes, which scans pass over, are no documents.
     """
     files = spark.read.format("binaryFile").load(paths)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", "content")
