@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed values, patterns: ASCII blanks, ASCII punctuation at both ends of a token, and what makes a token a word.
 BLANKS = r"[ \t\n\r\f\x0b]+"
 EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+#: The edges of all tokens of a text at once.
+ALL_EDGES = r"(?<![^ \t\n\r\f\x0b])[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+(?![^ \t\n\r\f\x0b])"
 WORDLIKE = "[a-zA-Z0-9]"
 PHRASE_WORD = "[a-z0-9]"
 
@@ -31,9 +33,8 @@ STOP_WORDS = tuple(
 
 
 def simple_tokenize(text: Column) -> Column:
-    """Split at blanks, strip ASCII punctuation at both ends, drop what is empty then."""
-    parts = F.split(F.coalesce(text, F.lit("")), BLANKS)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x != "")
+    """Split at blanks, strip ASCII punctuation at both ends, drop what is empty then. The text is stripped in one pass, before it is split."""
+    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), ALL_EDGES, ""), BLANKS), lambda x: x != "")
 
 
 def treebank_tokenize(text: Column) -> Column:

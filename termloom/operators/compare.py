@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .preprocess import PreprocessConfig, final_tokens
+from .preprocess import PreprocessConfig, final_tokens, unnested
 
 #: Fixed value, a pattern: what counts as a word of the vector space, in lower-cased text.
 VECTOR_WORD = r"[\p{L}\p{N}_]{2,}"
@@ -14,7 +14,7 @@ VECTOR_WORD = r"[\p{L}\p{N}_]{2,}"
 def vector_terms(docs: DataFrame, cfg: PreprocessConfig, lexicon: DataFrame | None = None) -> DataFrame:
     """doc_id, term and tf of the vector space: words of two characters or more of the joined final tokens."""
     joined = F.lower(F.array_join("final_tokens", " "))
-    words = final_tokens(docs, cfg, lexicon).select("doc_id", F.explode(F.regexp_extract_all(joined, F.lit(VECTOR_WORD), F.lit(0))).alias("term"))
+    words = unnested(final_tokens(docs, cfg, lexicon), F.regexp_extract_all(joined, F.lit(VECTOR_WORD), F.lit(0)), None, "term", "doc_id")
     return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions.phonetic import phonetic_code
-from .preprocess import PreprocessConfig, exploded, final_tokens, phrase_tokens
+from .preprocess import PreprocessConfig, exploded, final_tokens, phrase_tokens, unnested
 
 DEFAULT = PreprocessConfig()
 
@@ -82,7 +82,7 @@ def first_seen(docs: DataFrame, cfg: PreprocessConfig = DEFAULT) -> DataFrame:
     order = "doc_ord" if "doc_ord" in docs.columns else "doc_id"
     if order == "doc_id":
         docs = docs.select("doc_id", "text", F.col("doc_id").alias("doc_ord"))
-    tokens = final_tokens(docs, cfg).select("doc_id", "doc_ord", F.posexplode("final_tokens").alias("pos", "term"))
+    tokens = unnested(final_tokens(docs, cfg), F.col("final_tokens"), "pos", "term", "doc_id", "doc_ord")
     return (
         tokens.groupBy("term", "doc_id")
         .agg(F.min(F.col("doc_ord").cast("bigint") * (1 << 32) + F.col("pos")).alias("first"))
@@ -144,7 +144,7 @@ def build_biword_index(docs: DataFrame) -> DataFrame:
     """Distinct (biword, doc_id) of adjacent words; documents of one word have none."""
     t = F.col("tokens")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
-    return phrase_tokens(docs).where(F.size("tokens") >= 2).select(F.explode(pairs).alias("biword"), "doc_id").distinct()
+    return unnested(phrase_tokens(docs), F.when(F.size(t) >= 2, pairs), None, "biword", "doc_id").select("biword", "doc_id").distinct()
 
 
 def biwords_index_to_dataframe(biwords: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def biwords_index_to_dataframe(biwords: DataFrame) -> DataFrame:
 
 def build_positions(docs: DataFrame) -> DataFrame:
     """The positional index in long form: term, doc_id, pos (from 0)."""
-    return phrase_tokens(docs).select(F.posexplode("tokens").alias("pos", "term"), "doc_id").select("term", "doc_id", "pos")
+    return unnested(phrase_tokens(docs), F.col("tokens"), "pos", "term", "doc_id").select("term", "doc_id", "pos")
 
 
 def build_positional_index(docs: DataFrame) -> DataFrame:
@@ -181,12 +181,12 @@ def extract_vocabulary(docs: DataFrame, cfg: PreprocessConfig = DEFAULT) -> Data
 
 def build_kgram_index(vocabulary: DataFrame, k: int = 3) -> DataFrame:
     """Distinct (kgram, term)."""
-    return vocabulary.select(F.explode(T.get_kgrams(F.col("term"), k)).alias("kgram"), "term").distinct()
+    return unnested(vocabulary, T.get_kgrams(F.col("term"), k), None, "kgram", "term").select("kgram", "term").distinct()
 
 
 def kgram_index_to_dataframe(vocabulary: DataFrame, k: int = 3, top_n: int = 50) -> DataFrame:
     """The ``top_n`` k-grams of most terms, ties by first appearance over the sorted vocabulary, each with its first ten terms."""
-    grams = vocabulary.select("term", F.posexplode(T.get_kgrams(F.col("term"), k)).alias("i", "kgram")).groupBy("kgram", "term").agg(F.min("i").alias("i"))
+    grams = unnested(vocabulary, T.get_kgrams(F.col("term"), k), "i", "kgram", "term").groupBy("kgram", "term").agg(F.min("i").alias("i"))
     top = grams.groupBy("kgram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("term", "i")).alias("first")).orderBy(F.desc("n"), "first").limit(top_n)
     first_ten = (
         grams.join(F.broadcast(top.select("kgram")), "kgram")  # at most top_n rows

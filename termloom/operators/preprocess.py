@@ -64,7 +64,9 @@ def preprocess(docs: DataFrame, cfg: PreprocessConfig = PreprocessConfig(), lexi
     tokenize = T.treebank_tokenize if cfg.tokenizer == "treebank" else T.simple_tokenize
     col = F.col
     out = docs.withColumn("raw_tokens", tokenize(col("text")))
-    out = out.withColumn("lower_tokens", T.to_lowercase(col("raw_tokens")) if cfg.lowercase else col("raw_tokens"))
+    if cfg.lowercase:
+        lower = tokenize(F.lower("text")) if cfg.tokenizer == "simple" else T.to_lowercase(col("raw_tokens"))
+    out = out.withColumn("lower_tokens", lower if cfg.lowercase else col("raw_tokens"))
     out = out.withColumn("hyph_tokens", T.handle_hyphen(col("lower_tokens")) if cfg.handle_hyph else col("lower_tokens"))
     out = out.withColumn("clean_tokens", T.keep_wordlike(col("hyph_tokens")))
     none = F.array().cast("array<string>")
@@ -87,12 +89,23 @@ def final_tokens(docs: DataFrame, cfg: PreprocessConfig = PreprocessConfig(), le
     return preprocess(docs.select(*keep, "text"), cfg, lexicon).select(*keep, "final_tokens")
 
 
+def unnested(df: DataFrame, array: Column, pos: str | None, item: str, *keep: str) -> DataFrame:
+    """A row for each item of an array, with its place under the name ``pos``, and the columns kept.
+
+    The outer form of explode, with its empty rows filtered after: the plain form
+    makes the optimizer evaluate a computed array twice, once to filter by its size.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(item)).where(F.col(item).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def exploded(docs: DataFrame, column: str = "final_tokens") -> DataFrame:
     """doc_id, pos (from 0) and token, from an array column."""
-    return docs.select("doc_id", F.posexplode(column).alias("pos", "token"))
+    return unnested(docs, F.col(column), "pos", "token", "doc_id")
 
 
 def phrase_tokens(docs: DataFrame, tokenizer: str = "simple") -> DataFrame:
     """doc_id and tokens as phrase indexes see them: lower-cased words, hyphens kept, nothing removed."""
-    tokenize = T.treebank_tokenize if tokenizer == "treebank" else T.simple_tokenize
-    return docs.select("doc_id", T.phrase_words(T.to_lowercase(tokenize(F.col("text")))).alias("tokens"))
+    lower = T.to_lowercase(T.treebank_tokenize(F.col("text"))) if tokenizer == "treebank" else T.simple_tokenize(F.lower("text"))
+    return docs.select("doc_id", T.phrase_words(lower).alias("tokens"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import edit_distance, indel_ratio
 from ..operators import boolean, compare, dictionary, heavy_keys, index, lemmas, phrase, spelling, tolerant, wildcard
 from ..operators.preprocess import PreprocessConfig, changed_map, exploded, final_tokens, preprocess, stem_tokens
-from ..session import scratch, table
+from ..session import scratch, spread, table
 from ..sources import documents as sources
 from ..sources import index_store
 from ..streaming import postings as stream
@@ -42,7 +42,7 @@ TFIDF_DIGITS = 6
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
