@@ -92,6 +92,8 @@ def _table(enc: str) -> tuple[tuple[str, ...], dict[str, int]]:
     return tuple(chars), back
 
 
+_MARKS = re.compile("[\x02\x03\n]")
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 #: A stretch without ordinary blanks that holds other than ASCII characters.
@@ -99,23 +101,35 @@ WORD = re.compile(r"[^ \t\r\n\x0b\x0c]*[^\x00-\x7f][^ \t\r\n\x0b\x0c]*")
 
 
 @lru_cache(None)
-def _misreading(written: str, read: str) -> dict[int, str]:
-    """For str.translate: from each high byte, as Latin-1, to the character it is read as."""
-    return dict(enumerate(_table(read)[0], 128))
+def _misreading(read: str) -> np.ndarray:
+    """The code point that each byte is read as."""
+    return np.array([*range(128), *map(ord, _table(read)[0])], "<u4")
+
+
+@lru_cache(None)
+def _writing(written: str) -> np.ndarray:
+    """The byte that each code point is written as; 63, a question mark, where there is none."""
+    out = np.full(1 << 16, 63, np.uint8)
+    out[:128] = range(128)
+    for ch, b in _table(written)[1].items():
+        out[ord(ch)] = b
+    return out
+
+
+@lru_cache(None)
+def _repertoire(enc: str) -> frozenset[str]:
+    return frozenset(map(chr, range(128))) | frozenset(_table(enc)[1])
 
 
 def _writable(text: str, enc: str) -> bool:
-    return enc == "utf-8" or all(c < "\x80" or c in _table(enc)[1] for c in text)
+    return enc == "utf-8" or _repertoire(enc).issuperset(text)
 
 
 def garble(text: str, chain: Chain) -> str:
     """``text``, writable in the chain's first encoding, as a reader with the wrong encodings sees it."""
     for written, read in chain:
-        if written == "utf-8":
-            data = text.encode("utf-8").decode("latin-1")
-        else:
-            data = text.translate({ord(c): chr(b) for c, b in _table(written)[1].items()})
-        text = data.translate(_misreading(written, read))
+        data = text.encode("utf-8") if written == "utf-8" else _writing(written)[np.frombuffer(text.encode("utf-32-le"), "<u4")].tobytes()
+        text = _misreading(read)[np.frombuffer(data, np.uint8)].tobytes().decode("utf-32-le")
     return text
 
 
@@ -255,23 +269,24 @@ class Model:
         """From clean words with their counts: each is garbled by every chain that can be."""
         counts = np.zeros((len(KINDS) + len(CHAINS), BUCKETS))
 
-        def add(k: int, items: list[tuple[str, float]]) -> None:
-            if not items:
-                return
-            data = [_bytes(w) for w, _ in items]
-            weights = np.repeat([n for _, n in items], [len(d) for d in data])[:-1]
-            keys, high = _bigrams(b"".join(data))
-            counts[k] += np.bincount(keys, weights[high], BUCKETS)
+        def add(k: int, made: list[str], weights: np.ndarray) -> None:
+            if made:
+                data = b"\x02" + "\n".join(made).encode("utf-8", "replace").replace(b"\n", b"\x03\x02") + b"\x03"
+                keys, high = _bigrams(data)
+                of_byte = weights[np.cumsum(np.frombuffer(data, np.uint8) == 2) - 1]
+                counts[k] += np.bincount(keys, of_byte[:-1][high], BUCKETS)
 
         # frequent words count less than in proportion, else a few names would rule
-        plain = [(w, n**0.5) for w, n in words.items()]
-        plain += [(w.upper(), 0.1 * n) for w, n in plain if w.upper() != w]
+        plain = {w: n**0.5 for w, n in words.items() if not _MARKS.search(w)}
+        plain |= {u: plain.get(u, 0) + 0.1 * n for w, n in list(plain.items()) if (u := w.upper()) != w}
         for k, kind in enumerate(KINDS):
-            add(k, [(w, n) for w, n in plain if kind(w)])
+            of_kind = [w for w in plain if kind(w)]
+            add(k, of_kind, np.array([plain[w] for w in of_kind]))
+        writable = {enc: [w for w in plain if _writable(w, enc)] for enc in {chain[0][0] for chain in CHAINS}}
         for k, chain in enumerate(CHAINS, len(KINDS)):
-            fit = [(w, n) for w, n in plain if _writable(w, chain[0][0])]
-            made = garble("\n".join(w for w, _ in fit), chain).split("\n")
-            add(k, [(g, n) for g, (w, n) in zip(made, fit) if g != w])
+            fit = writable[chain[0][0]]
+            pairs = [(g, w) for g, w in zip(garble("\n".join(fit), chain).split("\n"), fit) if g != w] if fit else []
+            add(k, [g for g, _ in pairs], np.array([plain[w] for _, w in pairs]))
         counts += SMOOTH
         return Model(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
@@ -362,7 +377,7 @@ def suspicious(word: str) -> bool:
     """Whether a word may be garbled by a chain that starts from UTF-8, or has lost characters; used to keep training words clean."""
     if "�" in word or any("\x80" <= c <= "\x9f" for c in word):
         return True
-    return any(chain[0][0] == "utf-8" and invert(word, chain) is not None for chain in CHAINS)
+    return _TWO.search(word) is not None and any(chain[0][0] == "utf-8" and invert(word, chain) is not None for chain in CHAINS)
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS) -> Model:
