@@ -23,8 +23,7 @@ def weights(terms: DataFrame, n_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     idf = (
         terms.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(n_docs.toDF("n_docs")))  # one row
-        .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+        .select("term", (F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     raw = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -84,7 +84,7 @@ def row_shares(positional: DataFrame, inverted: DataFrame) -> DataFrame:
     return (
         joined.withColumns(zero)
         .withColumn("pair_rows", F.col("n_rows") * F.col("n_list_rows"))
-        .join(F.broadcast(total))  # one row
+        .withColumn("total_rows", total.scalar())
     )
 
 
@@ -136,7 +136,7 @@ def posting_blocks(positional: DataFrame, inverted: DataFrame, block_docs: int =
     both = merged_postings(positional, inverted)
     n = both.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     whole = n.agg(F.sum("df").alias("all_df"))
-    counted = n.join(F.broadcast(whole)).withColumn("blocks", F.ceil(F.col("df") / block_docs).cast("int"))
+    counted = n.withColumn("all_df", whole.scalar()).withColumn("blocks", F.ceil(F.col("df") / block_docs).cast("int"))
     heavy = counted.where(F.col("df") >= HEAVY_SHARE * F.col("all_df")).where("blocks > 1").select("term", "blocks")
     middle = counted.where(F.col("df") < HEAVY_SHARE * F.col("all_df")).where("blocks > 1").select("term", F.col("blocks").alias("m_blocks"))
     placed = (

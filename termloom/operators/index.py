@@ -55,7 +55,12 @@ def build_doc_lengths(docs: DataFrame, cfg: PreprocessConfig = DEFAULT) -> DataF
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
     """term, df and cf."""
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return postings.groupBy("term").agg(_present().alias("df"), F.sum("tf").alias("cf"))
+
+
+def _present() -> Column:
+    """The number of postings. It reads tf, so that postings made on the spot are the same subplan here as elsewhere and their exchange is used again."""
+    return F.count_if(F.col("tf") > 0)
 
 
 def compute_tfidf(postings: DataFrame, n_docs: int | DataFrame) -> DataFrame:
@@ -64,11 +69,11 @@ def compute_tfidf(postings: DataFrame, n_docs: int | DataFrame) -> DataFrame:
     Document frequencies are counted first and joined, so that a term in every
     document moves no more than its postings. ``n_docs``: N, or a one-row frame of it.
     """
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("term").agg(_present().alias("df"))
     if isinstance(n_docs, int):
         df = df.withColumn("n_docs", F.lit(n_docs))
     else:
-        df = df.join(F.broadcast(n_docs.toDF("n_docs")))  # one row
+        df = df.withColumn("n_docs", n_docs.scalar())
     df = df.withColumn("idf", F.log(F.col("n_docs") / F.col("df"))).drop("n_docs")
     return postings.join(df, "term").withColumn("tfidf", F.round(F.col("tf") * F.col("idf"), 6))
 
@@ -102,7 +107,7 @@ def index_statistics(docs: DataFrame, cfg: PreprocessConfig = DEFAULT) -> DataFr
         F.min_by("term", rank_first).alias("min_df_term"),
         F.count_if(F.col("df") == 1).alias("singleton_terms"),
     )
-    return stats.join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("doc_count"))))  # one row each
+    return stats.withColumn("doc_count", docs.agg(F.count(F.lit(1))).scalar())
 
 
 def top_terms(docs: DataFrame, cfg: PreprocessConfig = DEFAULT, n: int = 10) -> DataFrame:
