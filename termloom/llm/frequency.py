@@ -154,4 +154,4 @@ def marked(inverted: DataFrame, rare: int = RARE, common: float = COMMON, partit
     """Counts of every term and its mark: ``rare``, ``common`` or null. Columns: term, doc_frequency, occurrences, deliveries, n_all, mark."""
     n = F.col("doc_frequency")
     mark = F.when(n <= rare, "rare").when(n > common * F.col("n_all"), "common")
-    return counted(inverted, partition_rows).join(F.broadcast(documents_of(inverted))).withColumn("mark", mark)
+    return counted(inverted, partition_rows).withColumn("n_all", documents_of(inverted).scalar()).withColumn("mark", mark)
