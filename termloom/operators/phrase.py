@@ -128,3 +128,8 @@ def false_positive_demo(spark) -> dict[str, DataFrame]:
     return {
         "documents": docs, "biword": query_biword(query, bw), "positional": query_positional(query, ps), "candidates": phrase_candidates(query, ps), "false_positives": false_positives(query, ps),
     }
+
+
+def describe(query: str) -> dict:
+    """The driver-side account of a phrase: its words and biwords."""
+    return {"query": query, "query_tokens": query_words(query), "biwords": query_biwords(query)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -109,3 +110,11 @@ def phrase_tokens(docs: DataFrame, tokenizer: str = "simple") -> DataFrame:
     """doc_id and tokens as phrase indexes see them: lower-cased words, hyphens kept, nothing removed."""
     lower = T.to_lowercase(T.treebank_tokenize(F.col("text"))) if tokenizer == "treebank" else T.simple_tokenize(F.lower("text"))
     return docs.select("doc_id", T.phrase_words(lower).alias("tokens"))
+
+
+def timed_preprocess(docs: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> tuple[DataFrame, float]:
+    """The preprocessed frame and the milliseconds (3 places) that making all its rows once took."""
+    out = preprocess(docs, cfg)
+    began = time.perf_counter()
+    out.write.format("noop").mode("overwrite").save()
+    return out, round((time.perf_counter() - began) * 1000, 3)

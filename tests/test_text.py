@@ -12,7 +12,7 @@ from termloom.functions.phonetic import metaphone_of, soundex, soundex_of
 from termloom.functions.similarity import common_subsequence, indel_ratio, ratio_of
 from termloom.functions.stemming import porter, snowball
 from termloom.operators import lemmas
-from termloom.operators.preprocess import PreprocessConfig, preprocess
+from termloom.operators.preprocess import PreprocessConfig, preprocess, timed_preprocess
 
 
 def one(spark, text, f):
@@ -91,6 +91,11 @@ def test_pipeline_stages(spark):
     assert preprocess(docs.where("false")).count() == 0
 
 
+def test_timing(spark):
+    out, ms = timed_preprocess(spark.createDataFrame([(1, "a cat")], "doc_id long, text string"))
+    assert ms > 0 and out.first().final_tokens == ["cat"]
+
+
 def test_lemmas(spark):
     tokens = spark.createDataFrame([(t,) for t in ("engines", "engine", "geese", "ran", "running", "run", "glass", "was", None, "engines")], "token string")
     assert dict(values(lemmas.lemma_table(tokens, "n"))) == {"engines": "engine", "geese": "goose"}
