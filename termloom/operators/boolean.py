@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stemming import porter, snowball
-from ..plans.boolean import BooleanQuery, needs_all, parse
+from ..plans.boolean import BooleanQuery, needs_all, parse, tokenize
 from .preprocess import PreprocessConfig
 
 
@@ -77,8 +77,6 @@ def normalized(query: str, cfg: PreprocessConfig) -> str:
     q = parse(query)
     if not cfg.do_stem or q.tree is None:
         return query
-    from ..plans.boolean import tokenize
-
     return " ".join(stem(t) if t in q.terms else t for t in tokenize(query))
 
 

@@ -14,7 +14,9 @@ Only the named columns are read, so further columns never clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Terms with at least this share of all merged postings are laid out in salted blocks; there are at most 1/HEAVY_SHARE of them, so their table may be broadcast.
@@ -57,17 +59,13 @@ def posting_states(inverted: DataFrame) -> DataFrame:
     )
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole)
-
-
 def row_shares(positional: DataFrame, inverted: DataFrame) -> DataFrame:
     """Rows of each term in both tables, and its share of all positional rows.
 
     Both tables are counted by term first; the compact counts are joined on the
     term. ``pair_rows`` is the number of rows of the plain join of both tables
     on the term: the product of the counts, without that join. Columns:
-    term, n_rows, n_segments_rows, n_entries, pair_rows, total_rows.
+    term, n_rows, n_list_rows, n_entries, pair_rows, total_rows.
     """
     rows = positional.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"))
     lists = (
@@ -90,7 +88,7 @@ def row_shares(positional: DataFrame, inverted: DataFrame) -> DataFrame:
 
 def heavy_terms(positional: DataFrame, inverted: DataFrame, share: float = 0.01) -> DataFrame:
     """Terms with at least ``share`` of all rows of the positional table: ``term``."""
-    return row_shares(positional, inverted).where(F.col("n_rows") >= share * F.col("total_rows")).where("n_rows > 0").select("term")
+    return row_shares(positional, inverted).where(F.col("n_rows") >= F.lit(Decimal(str(share))) * F.col("total_rows")).where("n_rows > 0").select("term")
 
 
 def merged_postings(positional: DataFrame, inverted: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ IRREGULAR = {
 
 def candidates(token: Column, pos: str) -> Column:
     """Array of the forms a token may be inflected from, the token itself not among them."""
-    forms = [F.when(token.endswith(end) & (F.length(token) > len(end)), F.concat(F.expr(f"left(token, length(token) - {len(end)})"), F.lit(put))) for end, put in ENDINGS[pos]]
+    forms = [F.when(token.endswith(end) & (F.length(token) > len(end)), F.concat(token.substr(F.lit(1), F.length(token) - len(end)), F.lit(put))) for end, put in ENDINGS[pos]]
     return F.array_distinct(F.filter(F.array(*forms), lambda f: f.isNotNull() & (F.length(f) > 0)))
 
 

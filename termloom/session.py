@@ -39,6 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "termloom", f"{name}-{uuid.uuid4().hex}")
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the tables that operators left in the shared folder. Frames made before read them still: call it when their results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "termloom"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     path = scratch(df.sparkSession, name)

@@ -50,3 +50,16 @@ def test_streamed_postings(spark, tmp_path):
     run([("a", "cat cat dog"), ("b", "dog"), ("c", "bird")])
     run([("b", "fish"), ("c", None)])
     assert values(stream.read(spark, str(tmp_path / "out"))) == [("cat", "a", 2), ("dog", "a", 1), ("fish", "b", 1)]
+
+
+def test_scratch_is_shared_and_cleaned(spark):
+    import os
+
+    from termloom.session import clean_scratch, shared_dir, stored
+
+    assert shared_dir(spark).startswith("file:")
+    assert values(stored(spark.range(3), "x")) == [0, 1, 2]
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + "/termloom"
+    assert os.path.isdir(folder)
+    clean_scratch(spark)
+    assert not os.path.exists(folder)
