@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,5 +154,5 @@ def documents_of(inverted: DataFrame) -> DataFrame:
 def marked(inverted: DataFrame, rare: int = RARE, common: float = COMMON, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """Counts of every term and its mark: ``rare``, ``common`` or null. Columns: term, doc_frequency, occurrences, deliveries, n_all, mark."""
     n = F.col("doc_frequency")
-    mark = F.when(n <= rare, "rare").when(n > common * F.col("n_all"), "common")
+    mark = F.when(n <= rare, "rare").when(n > F.lit(Decimal(str(common))) * F.col("n_all"), "common")
     return counted(inverted, partition_rows).withColumn("n_all", documents_of(inverted).scalar()).withColumn("mark", mark)
