@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .preprocess import PreprocessConfig, final_tokens, unnested
 
@@ -22,12 +23,12 @@ def weights(terms: DataFrame, n_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, term, w), each document of length one, and (term, idf), with idf = ln((1 + N) / (1 + df)) + 1."""
     idf = (
         terms.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that the terms are made once for both uses
         .select("term", (F.log((1 + n_docs.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     raw = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w")), idf
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / norm).alias("w")), idf
 
 
 def cosine(docs: DataFrame, queries: DataFrame, cfg: PreprocessConfig = PreprocessConfig(), lexicon: DataFrame | None = None) -> DataFrame:

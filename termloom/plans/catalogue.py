@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import edit_distance, indel_ratio
 from ..operators import boolean, compare, dictionary, heavy_keys, index, lemmas, phrase, spelling, tolerant, wildcard
 from ..operators.preprocess import PreprocessConfig, changed_map, exploded, final_tokens, preprocess, stem_tokens
-from ..session import scratch, spread, table
+from ..session import scratch, spread, stored, table
 from ..sources import documents as sources
 from ..sources import index_store
 from ..streaming import postings as stream
@@ -403,7 +403,8 @@ def phonetic_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _tolerant(query: str, what: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        p, v = _postings(spark, d), _vocabulary(spark, d)
+        p = stored(_postings(spark, d), "postings")  # an index is made once and asked often
+        v = p.select("term").distinct()
         found = tolerant.tolerant_search(query, p, v, index.build_kgram_index(v), index.build_phonetic_index(v), index.build_phonetic_index(v, "metaphone"))
         return found.docs if what == "docs" else found.terms
 
