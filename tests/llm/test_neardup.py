@@ -56,6 +56,26 @@ def test_crowded_keys_lose_no_close_pair(spark, rows, monkeypatch):
     assert close <= all_at_once and close <= refined and len(refined) < len(all_at_once)
 
 
+def test_crowded_keys_lose_no_pair(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = neardup.signed(df).selectExpr("doc_id as id", "n", "sig", "runs")
+    all_at_once, crowded = (set(values(neardup.candidates(reps, 0.5, bucket))) for bucket in (10**9, 1))
+    want = brute(rows)
+    assert want & all_at_once <= crowded and len(crowded) < len(all_at_once)
+    assert want <= set(values(neardup.crowded_pairs(reps.select("id", "n", "runs"))))
+
+
+def test_pairs_of_exactly_the_similarity(spark):
+    # common runs of every share about a half, sets of equal and of unequal size
+    rows = []
+    for n in range(3, 40):
+        base = [f"b{n}_{k}" for k in range(n)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: n // 2 + 1])), (len(rows) + 2, " ".join(base + [f"c{n}_{k}" for k in range(n - 2)]))]
+        rows.append((len(rows), " ".join(base[n // 3 :] + [f"d{n}_{k}" for k in range(n // 3)])))
+    reps = neardup.signed(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id as id", "n", "runs")
+    assert brute(rows) <= set(values(neardup.crowded_pairs(reps)))
+
+
 def test_signature_guarantee():
     import numpy as np
 
