@@ -351,13 +351,9 @@ def wildcard_docs(spark: SparkSession, d: str) -> DataFrame:
 # spelling and sound
 
 
-def _ascii(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.where(F.col("term").rlike("^[a-z]+$"))
-
-
 def edit_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of each ASCII term to a misspelling."""
-    return _ascii(_vocabulary(spark, d)).select("term", edit_distance(F.col("term"), F.lit(MISSPELLED[0])).cast("bigint").alias("distance"))
+    """Edit distance of each term to a misspelling."""
+    return _vocabulary(spark, d).select("term", edit_distance(F.col("term"), F.lit(MISSPELLED[0])).cast("bigint").alias("distance"))
 
 
 def indel_ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -381,8 +377,8 @@ def spell_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def soundex_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Soundex code of every plain ASCII term."""
-    return spelling.coded(_ascii(_vocabulary(spark, d)))
+    """Soundex code of every term."""
+    return spelling.coded(_vocabulary(spark, d))
 
 
 def soundex_groups(spark: SparkSession, d: str) -> DataFrame:
