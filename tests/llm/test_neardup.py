@@ -76,6 +76,13 @@ def test_pairs_of_exactly_the_similarity(spark):
     assert brute(rows) <= set(values(neardup.crowded_pairs(reps)))
 
 
+def test_pair_of_distant_signatures(spark):
+    texts = ["u221 v221 w221 x221", "u221 v221 w221"]  # half of the runs in common, 31 of 36 components differ, a key in common
+    a, b = (neardup.signature(neardup.runs(t, {})) for t in texts)
+    assert (a != b).sum() == 31
+    assert values(neardup.duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))) == [(0, 1)]
+
+
 def test_signature_guarantee():
     import numpy as np
 
