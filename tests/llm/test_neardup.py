@@ -5,6 +5,7 @@ import re
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 neardup = pytest.importorskip("termloom.llm.neardup")
 
@@ -47,22 +48,58 @@ def test_pairs(spark, rows):
     assert len(got) == len(set(got)) and set(got) <= want and len(want) - len(got) <= 0.01 * len(want)
 
 
-def test_crowded_keys_lose_no_close_pair(spark, rows, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET", 2)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    reps = neardup.signed(df).selectExpr("doc_id as id", "n", "sig")
-    all_at_once, refined = (set(values(neardup.candidates(reps, 0.5, bucket))) for bucket in (10**9, 3))
-    close = brute(rows, least=0.7)
-    assert close <= all_at_once and close <= refined and len(refined) < len(all_at_once)
+def found_by(neardup, df, bucket):
+    reps = neardup.signed(df).withColumnRenamed("doc_id", "id")
+    return set(values(neardup.candidates(reps, df, bucket=bucket)[0]))
 
 
-def test_crowded_keys_lose_no_pair(spark, rows, monkeypatch):
+def test_crowded_keys_lose_no_pair(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    reps = neardup.signed(df).selectExpr("doc_id as id", "n", "sig", "runs")
-    all_at_once, crowded = (set(values(neardup.candidates(reps, 0.5, bucket))) for bucket in (10**9, 1))
+    all_at_once, crowded = (found_by(neardup, df, bucket) for bucket in (10**6, 1))
     want = brute(rows)
-    assert want & all_at_once <= crowded and len(crowded) < len(all_at_once)
-    assert want <= set(values(neardup.crowded_pairs(reps.select("id", "n", "runs"))))
+    assert want & all_at_once <= crowded
+    assert want <= set(values(neardup.crowded_pairs(neardup.run_sets(df))))
+
+
+def test_every_pair_of_a_crowd_at_the_threshold(spark, monkeypatch):
+    # every two of them have 84 of 166 runs in common: 0.506
+    shared = [f"s{k}" for k in range(86)]
+    rows = [(i, " ".join(shared + [f"d{i}x{k}" for k in range(41)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150)}
+    assert brute(rows[:4]) == {(a, b) for a, b in want if b < 4}
+    assert set(values(neardup.duplicate_pairs(df))) == want
+    monkeypatch.setattr(neardup, "BLOCK", 7)  # the runs they share in many blocks
+    assert set(values(neardup.crowded_pairs(neardup.run_sets(df)))) >= want
+
+
+def test_hot_runs_are_weighed_like_others(spark, rows, monkeypatch):
+    each = neardup.run_sets(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("id", "n", "explode(runs) as run")
+    plain = values(neardup.weighed(each))
+    for share in (0, 1):
+        monkeypatch.setattr(neardup, "HOT", share)
+        assert values(neardup.weighed(each)) == plain
+
+
+def test_pairs_of_sorted_rows():
+    import numpy as np
+
+    key, ids, n = (np.array(x) for x in ([1, 1, 2, 5, 5, 5, 7, 7, 7, 7], [3, 8, 3, 1, 2, 9, 1, 2, 3, 4], [10, 10, 9, 4, 9, 8, 1, 1, 1, 1]))
+    pairs, crowded = neardup._paired(key, ids, n, 0.5, 3)
+    assert sorted(map(tuple, np.concatenate(pairs, 1).T.tolist())) == [(1, 9), (2, 9), (3, 8)] and crowded.tolist() == [7]
+    assert neardup._paired(*[np.empty(0, np.int64)] * 3, 0.5, 3)[1].tolist() == []
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n, common in ((1, 0), (60, 30), (300, 200), (5000, 3400)):
+        a, b = (np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        b[:common] = a[:common]
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        x = neardup.parities(a) ^ neardup.parities(b)
+        assert sum(int(v).bit_count() if v >= 0 else (int(v) + (1 << 64)).bit_count() for v in x) <= apart
 
 
 def test_pairs_of_exactly_the_similarity(spark):
@@ -72,8 +109,11 @@ def test_pairs_of_exactly_the_similarity(spark):
         base = [f"b{n}_{k}" for k in range(n)]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: n // 2 + 1])), (len(rows) + 2, " ".join(base + [f"c{n}_{k}" for k in range(n - 2)]))]
         rows.append((len(rows), " ".join(base[n // 3 :] + [f"d{n}_{k}" for k in range(n // 3)])))
-    reps = neardup.signed(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id as id", "n", "runs")
-    assert brute(rows) <= set(values(neardup.crowded_pairs(reps)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert brute(rows) <= set(values(neardup.crowded_pairs(neardup.run_sets(df))))
+    reps = neardup.signed(df).withColumnRenamed("doc_id", "id")
+    every = reps.selectExpr("id as a").join(reps.selectExpr("id as b"), F.expr("a < b"))  # a small table
+    assert brute(rows) <= set(values(neardup.possible(every, reps)))
 
 
 def test_pair_of_distant_signatures(spark):
