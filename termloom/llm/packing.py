@@ -1,11 +1,16 @@
 """Filling containers of fixed capacity with whole documents (problem 7).
 
-Harmonic packing: a size s belongs to the class k = capacity // s, and each
-container of class k takes k documents of it, largest first, which always fit. The
-space this leaves is topped up with the largest smaller documents that fit.
-Workers fill containers independently, each over its own shard of about
-SHARD_ITEMS documents; what ends up in containers less than FULL full is packed
-again over fewer, larger shards, until one shard is left.
+Harmonic packing: a size s belongs to the class k = capacity // s, whose containers
+take exactly k documents of the class and no other count. k of them always fit, and
+one more of the class never would. Workers fill containers independently, each over
+its own shard of about SHARD_ITEMS documents, class by class from the largest sizes.
+The space that a container's k documents leave is topped up with the largest
+documents of smaller classes that fit.
+
+What is over when a class's documents don't make up another k stays open: less than
+one container a class and shard, whatever the shard holds. Only the open containers
+of MERGE shards are packed again together, and so on until one group is left or a
+round saves no container; a task never gets more than MERGE shards' open ones.
 
 Only a document larger than a container is split: into full containers of its own
 and a rest that is packed like any document.
@@ -18,8 +23,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,43 +36,54 @@ CAPACITY = 2048
 SHARD_ITEMS = 20_000
 #: Shards of one round that become one in the next.
 MERGE = 16
-#: Share of the capacity from which a container is kept as it is.
-FULL = 0.999
-
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The container number of each item of a shard. Sizes are 0 to capacity; items of 0 go to container 0."""
-    order = np.argsort(-sizes, kind="stable")
-    stock: dict[int, list[int]] = {}  # items by size, the first last
-    for i in order[::-1].tolist():
-        stock.setdefault(int(sizes[i]), []).append(i)
-    stock.pop(0, None)
-    left = sorted(stock)  # sizes that are still there
-    out = np.zeros(len(sizes), np.int64)
-    number = 0
-    while left:
-        room, lot = capacity, capacity // left[-1]  # the class of the largest size: its containers take so many
-        while left:
-            at = len(left) - 1 if lot > 0 and left[-1] <= room else bisect_right(left, room) - 1
-            if at < 0:
-                break
-            size = left[at]
-            items = stock[size]
-            out[items.pop()] = number
-            if not items:
-                left.pop(at)
-            room -= size
-            lot -= 1
-        number += 1
-    return out
 
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The container number of each item of a shard, and which containers are open: of fewer items of their class than it takes, and not full.
 
-def packed(documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Every document in its container, one row a piece.
-
-    Columns: doc_id, n_tokens (of the document), piece (from 0), pieces, start
-    (first token of the piece), size (its tokens), container.
+    Sizes are 0 to capacity; items of 0 go to container 0.
     """
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    sorted_sizes = sizes[order]
+    taken = np.zeros(len(order), bool)
+    # where each size begins in the order, for the largest item that fits a space
+    begin = np.searchsorted(-sorted_sizes, -np.arange(capacity + 1)).tolist()
+    after = list(range(len(order) + 1))  # the next item that isn't taken, itself or later
+
+    def free(at: int) -> int:
+        """The first item from ``at`` on that isn't taken."""
+        end = at
+        while after[end] != end:
+            end = after[end]
+        while after[at] != end:
+            after[at], at = end, after[at]
+        return end
+
+    out = np.zeros(len(sizes), np.int64)
+    kinds = capacity // np.maximum(sorted_sizes, 1)
+    number, is_open = 0, []
+    for k in np.unique(kinds).tolist():
+        first, end = np.searchsorted(kinds, [k, k + 1]).tolist()
+        own = first + np.flatnonzero(~taken[first:end])
+        for at in range(0, len(own), k):
+            lot = own[at : at + k]
+            taken[lot] = True
+            for i in lot.tolist():
+                after[i] = i + 1
+            out[order[lot]] = number
+            room = capacity - int(sorted_sizes[lot].sum())
+            while room > 0 and (i := free(max(end, begin[room]))) < len(order):
+                taken[i], after[i] = True, i + 1
+                out[order[i]] = number
+                room -= int(sorted_sizes[i])
+            is_open.append(len(lot) < k and room > 0)
+            number += 1
+    return out, np.array(is_open, bool)
+
+
+def placed(documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """``packed`` with ``row``, a number of each row of ``documents``."""
     sizes = stored(sized(documents), "sizes").withColumn("row", F.monotonically_increasing_id())
     whole = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(F.lit(0))
     rest = F.col("n_tokens") - F.col("whole") * capacity
@@ -79,7 +93,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SH
         sizes.where("whole > 0")
         .select("doc_id", "n_tokens", "row", "whole", pieces, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"))
         .select(
-            "doc_id", "n_tokens", F.col("piece").cast("int").alias("piece"), F.col("pieces").cast("int"),
+            "doc_id", "row", "n_tokens", F.col("piece").cast("int").alias("piece"), F.col("pieces").cast("int"),
             (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("size"),
             F.concat_ws("/", F.lit("own"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("container"),
         )
@@ -87,39 +101,49 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SH
     items = sizes.where("rest > 0 or n_tokens = 0").select(
         "doc_id", "n_tokens", "row", F.col("whole").cast("int").alias("piece"), pieces, (F.col("whole") * capacity).alias("start"), F.col("rest").alias("size")
     ).withColumn("pieces", F.col("pieces").cast("int"))
-    schema = "doc_id bigint, n_tokens bigint, row bigint, piece int, pieces int, start bigint, size bigint, container string, fill bigint, last boolean"
-    shards = max(1, -(-items.count() // shard_items))
-    done, level = [full], 0
+    schema = "doc_id bigint, n_tokens bigint, row bigint, piece int, pieces int, start bigint, size bigint, container string, open boolean"
+    groups = max(1, -(-items.count() // shard_items))
+    done, level, before = [full], 0, None
     while True:
-        here, final = level, shards == 1
+        here = level
 
         def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-            shard = shard.sort_values(["doc_id", "row"], kind="stable", ignore_index=True)
-            number = pack(shard["size"].to_numpy(np.int64), capacity)
+            shard = shard.sort_values(["doc_id", "row", "piece"], kind="stable", ignore_index=True)
+            number, is_open = pack(shard["size"].to_numpy(np.int64), capacity)
             shard["container"] = [f"{here}/{key[0]}/{n}" for n in number]
-            shard["fill"] = np.bincount(number, shard["size"])[number].astype(np.int64)
-            shard["last"] = final
+            shard["open"] = is_open[number] if len(is_open) else False
             return shard.drop(columns="shard")
 
-        placed = stored(
-            items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, schema),
+        # at level 0 shards are drawn by a hash, then MERGE of them make a group, as a shard's open containers are few
+        filled = stored(
+            items.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).groupBy("shard").applyInPandas(run, schema),
             f"packed{level}",
         )
-        keep = F.col("last") | (F.col("fill") >= FULL * capacity) | (F.col("size") == 0)
-        done.append(placed.where(keep).select(full.columns))
-        if final:
+        done.append(filled.where("not open").select(full.columns))
+        still = filled.where("open")
+        n = still.select("container").distinct().count()
+        if groups == 1 or n == 0 or before is not None and filled.select("container").distinct().count() >= before:
+            done.append(still.select(full.columns))
             break
-        items = placed.where(~keep).drop("container", "fill", "last")
-        shards, level = -(-shards // MERGE), level + 1
+        items, groups, level, before = still.drop("container", "open"), -(-groups // MERGE), level + 1, n
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def packed(documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """Every document in its container, one row a piece.
+
+    Columns: doc_id, n_tokens (of the document), piece (from 0), pieces, start
+    (first token of the piece), size (its tokens), container.
+    """
+    return placed(documents, capacity, shard_items).drop("row")
+
+
 def split_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id of every document that must be split: those whose pieces are more than one."""
-    return packed(documents, capacity).where("pieces > 1 and piece = 0").select("doc_id").distinct()
+    """doc_id of every document that must be split: those that lie in more than one container when all are packed."""
+    return placed(documents, capacity).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct()
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -49,14 +49,45 @@ def test_table(spark):
     assert tokens.encoded(df.where("false")).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=200))
 def test_pack(sizes):
-    number = packing.pack(np.array(sizes, np.int64), 100)
-    fill = np.bincount(number, sizes) if len(sizes) else np.zeros(0)
-    assert (fill <= 100).all() and len(number) == len(sizes)
-    if sum(sizes):  # never two containers that are half empty
-        assert (np.sort(fill[fill > 0])[:2].sum() > 100) or (fill > 0).sum() == 1
+    sizes = np.array(sizes, np.int64)
+    number, is_open = packing.pack(sizes, 100)
+    assert len(number) == len(sizes) and len(is_open) == (number.max() + 1 if sizes.sum() else 0)
+    open_classes = []
+    for n, still in enumerate(is_open):
+        own = sizes[(number == n) & (sizes > 0)]
+        assert len(own) and own.sum() <= 100
+        k = 100 // own.max()
+        count = (100 // own == k).sum()
+        assert count <= k and (count == k or still or own.sum() == 100)
+        if still:
+            assert count < k
+            open_classes.append(k)
+    assert len(open_classes) == len(set(open_classes))  # at most one a class
+
+
+def test_classes_decide_how_many_lie_together():
+    for size, k in ((700, 2), (683, 2), (682, 3), (1025, 1), (1024, 2), (2048, 1), (3, 682)):
+        number, is_open = packing.pack(np.full(7 * k + 1, size, np.int64))
+        assert np.bincount(number).tolist() == [k] * 7 + [1] and is_open.tolist() == [False] * 7 + [k > 1]
+    # a class's documents are put together before smaller ones come in, though two of 600 and two of 400 would fill one
+    number, _ = packing.pack(np.array([600, 600, 600, 248, 400, 424, 400, 424, 400], np.int64))
+    assert number.tolist() == [0, 0, 0, 0, 1, 1, 1, 1, 1]
+
+
+def test_top_up_is_the_largest_that_fits():
+    number, _ = packing.pack(np.array([1500, 500, 548, 547, 1501, 30, 20], np.int64))
+    assert number[0] == number[2] and number[4] == number[3]
+
+
+def test_documents_of_one_size_are_packed_where_they_are(spark):
+    """Nothing is gained by bringing shards together, so no task gets more than its shard."""
+    df = spark.createDataFrame([(i, "word" + " word" * 699) for i in range(301)], "doc_id long, text string")
+    out = packing.packed(df, shard_items=30).collect()
+    levels = [p.container.split("/")[0] for p in out]
+    assert levels.count("0") >= 301 - 11 and len({p.container for p in out}) <= 151 + 1
 
 
 def test_packed(spark):
@@ -74,6 +105,8 @@ def test_packed(spark):
         assert all(p.pieces == (1 if p.n_tokens <= packing.CAPACITY else -(-p.n_tokens // packing.CAPACITY)) for p in ps)
     assert {d for d, _ in pieces} == {i for i, _ in rows}
     assert values(packing.split_documents(df)) == [902, 904]
+    twice = df.union(df.where("doc_id in (5, 902)"))  # rows of one document: each is packed, none is split for it
+    assert values(packing.split_documents(twice)) == [902, 904]
     least = -(-sum(fill.values()) // packing.CAPACITY)
     assert len(fill) <= 1.12 * least + 2
     assert packing.packed(df.where("false")).count() == 0
