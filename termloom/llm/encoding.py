@@ -3,15 +3,18 @@
 A multinomial naive Bayes classifier over hashed byte bigrams is trained on words
 of the collection that are garbled synthetically, one class for each encoding
 chain and one for untouched words. A word's best chain is inverted and accepted
-only if every step decodes strictly and gives characters that text is made of.
-A document's words vote for its chain.
+only if every step decodes strictly and the last gives characters that text is made
+of; where UTF-8 was misread more often than the chain says, further strict steps
+follow until it does. A document's words vote for its chain. Chains are undone one
+after another until none is left.
 
 Training takes a bounded sample (SAMPLE_DOCS documents, MAX_WORDS distinct words);
 detection and repair take every document, whole.
 
 Defined cases: null text is no case and stays null; empty or ASCII text is no
-case and is unchanged; U+FFFD is a case that can't be restored; repeated rows each
-come out; only ``doc_id`` and ``text`` are read, so further columns never clash.
+case and is unchanged; U+FFFD is a case that can't be restored; a text is complete
+only if no character is known to be lost and no word is left that the model holds to
+be garbled; repeated rows each come out; only ``doc_id`` and ``text`` are read, so further columns never clash.
 An empty table gives an empty result.
 """
 
@@ -26,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +51,8 @@ VOTE, UTF8_VOTE = 4.0, 1.0
 LATIN_DOUBT = 4.0
 #: Votes that a question mark between letters gives to every chain with a vote.
 LOST_VOTE = 4.0
-#: Rounds of undoing repeated garbling.
-ROUNDS = 4
+#: Models kept by the digest of their sample, so that queries over the same documents train once.
+KEPT_MODELS = 4
 
 #: Encodings that UTF-8 bytes are often misread in.
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "mac_cyrillic")
@@ -65,7 +69,7 @@ Chain = tuple[Step, ...]
 
 CHAINS: tuple[Chain, ...] = (
     *(((("utf-8", w)),) for w in MISREAD_UTF8),
-    *((("utf-8", w), ("utf-8", w)) for w in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp1250")),
+    *((("utf-8", w), ("utf-8", w)) for w in MISREAD_UTF8),
     *(((a, b),) for a, b in MISREAD_BYTE),
 )
 
@@ -92,9 +96,17 @@ def _table(enc: str) -> tuple[tuple[str, ...], dict[str, int]]:
     return tuple(chars), back
 
 
+@lru_cache(None)
+def _defined(enc: str) -> tuple[str | None, ...]:
+    """Characters of the upper half of a one-byte encoding; None where a byte has none."""
+    return tuple(None if unicodedata.category(ch) == "Cc" else ch for ch in _table(enc)[0])
+
+
 _MARKS = re.compile("[\x02\x03\n]")
 _TWO = re.compile(r"[^\x00-\x7f]{2}")
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]")
+#: A question mark or control character after a character that UTF-8's first bytes are often read as: the rest was lost.
+_CUT = re.compile("[\u00c2-\u00df\u0413\u0420\u0421\u221a\u251c]\\?|[\x80-\x9f]")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 #: A stretch without ordinary blanks that holds other than ASCII characters.
 WORD = re.compile(r"[^ \t\r\n\x0b\x0c]*[^\x00-\x7f][^ \t\r\n\x0b\x0c]*")
@@ -148,8 +160,9 @@ def _undo(run: str, step: Step) -> str | None:
             return data.decode("utf-8")
         except UnicodeDecodeError:
             return None
-    chars, _ = _table(written)
-    return "".join(chars[b - 128] for b in data)
+    chars = _defined(written)
+    out = [chars[b - 128] for b in data]
+    return None if None in out else "".join(out)
 
 
 _PLAIN = set("“”‘’„‚«»‹›–—…•€£§°±²³¹½¼¾¿¡·×÷©®™†‡√≤≥≈∞№µªº ")
@@ -171,29 +184,71 @@ def _usual(ch: str) -> bool:
     return o >= 0x2000 and kind[0] in "LNPS" and kind != "Co" or kind in ("Cf", "Zs")
 
 
+#: First bytes of the UTF-8 of Latin and Cyrillic letters.
+_LEADS = frozenset({*range(0xC2, 0xC6), 0xD0, 0xD1})
+
+
+def _is_cut(word: str, end: int, read: str) -> bool:
+    """Whether the character before ``end`` is a first byte whose rest was lost to a question mark within the word."""
+    return word[end : end + 1] == "?" and word[end + 1 : end + 2].isalpha() and _table(read)[1].get(word[end - 1]) in _LEADS
+
+
+def _step_back(word: str, step: Step) -> str | None:
+    """The word before one step. Every run of high characters must decode; as UTF-8, what lost a byte may stay where another run decodes."""
+    out, at, undone = [], 0, 0
+    for m in _HIGH.finditer(word):
+        run = m.group()
+        s = _undo(run, step)
+        if s is None:
+            if step[0] != "utf-8":
+                return None
+            if len(run) == 1:
+                s, undone = run, undone - 1
+            elif not _is_cut(word, m.end(), step[1]) or (s := _undo(run[:-1], step)) is None:
+                return None
+            else:
+                s += run[-1]
+        undone += 1
+        out += (word[at : m.start()], s)
+        at = m.end()
+    if not undone:
+        return None
+    out.append(word[at:])
+    return "".join(out)
+
+
+def cut(word: str, chain: Chain) -> bool:
+    """Whether misread UTF-8 lost bytes in the word, so that it can't be restored."""
+    return len(chain) == 1 and chain[0][0] == "utf-8" and any(_is_cut(word, m.end(), chain[0][1]) for m in _HIGH.finditer(word))
+
+
+def _deeper(word: str) -> str | None:
+    """A word of usual characters from which repeated misreading of UTF-8 made this one; each step decodes strictly and leaves a shorter word, so this ends."""
+    seen = set()
+    for read in MISREAD_UTF8:
+        before = _step_back(word, ("utf-8", read))
+        if before is None or before in seen:
+            continue
+        seen.add(before)
+        if not all(map(_usual, before)):
+            before = _deeper(before)
+        if before is not None:
+            return before
+    return None
+
+
 def invert(word: str, chain: Chain) -> str | None:
-    """The word before the chain; None unless it decodes strictly to usual characters.
+    """The word before the chain; None unless it decodes strictly, and to usual characters in the end.
 
-    Every run of high characters must decode; a run that lost a byte may stay
-    where another run of the word decodes as UTF-8.
+    Between steps any characters will do. Where a chain of misread UTF-8 leaves a word
+    of unusual ones, it was misread more often, and is undone until it isn't.
     """
     for step in reversed(chain):
-        out, at, undone = [], 0, 0
-        for m in _HIGH.finditer(word):
-            s = _undo(m.group(), step)
-            if s is None:
-                if step[0] != "utf-8" or len(m.group()) > 1:
-                    return None
-                s = m.group()
-            else:
-                undone += 1
-            out += (word[at : m.start()], s)
-            at = m.end()
-        if not undone:
+        if (word := _step_back(word, step)) is None:
             return None
-        out.append(word[at:])
-        word = "".join(out)
-    return word if all(map(_usual, word)) else None
+    if all(map(_usual, word)):
+        return word
+    return _deeper(word) if chain[0][0] == "utf-8" else None
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -318,19 +373,26 @@ class Judge:
         self.model, self.seen = model, {}
 
     def word(self, w: str) -> list[tuple[int, float]]:
-        """Chains that strictly invert the word, with their log odds, those high enough for a vote."""
+        """Chains that strictly invert the word, or that lost bytes of it, with their log odds, those high enough for a vote."""
         if (known := self.seen.get(w)) is None:
             odds = self.model.odds(w)
             if all(c < "\x80" or c < "\u0250" and c.isalpha() for c in w):
                 odds -= _LATIN
-            known = [(int(k), float(odds[k])) for k in np.flatnonzero(odds >= _LEAST) if sound(w, CHAINS[k])]
+            known = [(int(k), float(odds[k])) for k in np.flatnonzero(odds >= _LEAST) if sound(w, CHAINS[k]) or cut(w, CHAINS[k])]
             if len(self.seen) > 200_000:
                 self.seen.clear()
             self.seen[w] = known
         return known
 
-    def once(self, text: str) -> tuple[str | None, str]:
-        """One round: the chain of most votes, if they suffice, and the text without it."""
+    def doubtful(self, w: str) -> bool:
+        """Whether the model holds a word to be garbled, also where no chain can be undone in it."""
+        odds = self.model.odds(w)
+        if all(c < "\x80" or c < "\u0250" and c.isalpha() for c in w):
+            odds = odds - _LATIN
+        return float(odds.max()) >= WORD_ODDS
+
+    def once(self, text: str) -> tuple[str | None, str, bool]:
+        """One round: the chain of most votes, if they suffice, the text without it, and whether all words it may have met are undone."""
         words = Counter(m.group() for m in WORD.finditer(text))
         votes: Counter[int] = Counter()
         best: Counter[int] = Counter()
@@ -339,38 +401,51 @@ class Judge:
                 votes[k] += odds
                 best[k] = max(best[k], odds)
         if not votes:
-            return None, text
+            return None, text, True
         if _LOST.search(text):  # question marks within words: letters that an encoding lacked
             for k in votes:
                 votes[k] += LOST_VOTE
-        k = max(votes, key=lambda k: (votes[k], -k))
-        if best[k] < (UTF8_ODDS if CHAINS[k][0][0] == "utf-8" else WORD_ODDS) or CHAINS[k][0][0] != "utf-8" and votes[k] < DOC_ODDS:
-            return None, text
+        enough = [k for k in votes if (best[k] >= UTF8_ODDS if CHAINS[k][0][0] == "utf-8" else best[k] >= WORD_ODDS and votes[k] >= DOC_ODDS)]
+        if not enough:
+            return None, text, True
+        k = max(enough, key=lambda k: (votes[k], -k))
+
+        left = False
 
         def mend(m: re.Match) -> str:
+            nonlocal left
             w = m.group()
             known = dict(self.word(w))
-            if k in known:
-                return invert(w, CHAINS[k])
-            if known and max(known.values()) >= WORD_ODDS:
-                return invert(w, CHAINS[max(known, key=known.get)])
+            best = k if k in known else max(known, key=known.get, default=None)
+            if best is not None and (best == k or known[best] >= WORD_ODDS) and (before := invert(w, CHAINS[best])) is not None:
+                return before
+            # any byte decodes in a one-byte encoding: a word that stays may have been met too
+            left = left or CHAINS[k][0][0] != "utf-8"
             return w
 
-        return chain_name(CHAINS[k]), WORD.sub(mend, text)
+        mended = WORD.sub(mend, text)
+        return chain_name(CHAINS[k]), mended, not left
 
     def text(self, text: str) -> Verdict:
-        """The verdict on a whole text, undoing up to ROUNDS chains one after another."""
+        """The verdict on a whole text, undoing one chain after another until none is found or a text comes back."""
         if text.isascii():
             return Verdict(False, None, text, True)
         lost = "�" in text
         chains: list[str] = []
-        for _ in range(ROUNDS):
-            name, mended = self.once(text)
-            if name is None or mended == text:
+        seen, whole = {text}, True
+        while True:
+            name, mended, undone = self.once(text)
+            if name is None:
                 break
             chains.append(name)
+            whole = whole and undone
+            if mended in seen:  # what is left can't be restored
+                whole = False
+                break
+            seen.add(mended)
             text = mended
-        return Verdict(bool(chains) or lost, "+".join(chains) or ("lost" if lost else None), text, not lost)
+        complete = not lost and whole and (not chains or not _LOST.search(text) and not _CUT.search(text) and not any(map(self.doubtful, set(WORD.findall(text)))))
+        return Verdict(bool(chains) or lost, "+".join(chains) or ("lost" if lost else None), text, complete)
 
 
 def suspicious(word: str) -> bool:
@@ -402,12 +477,20 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = M
     return fit_words(words)
 
 
+_models: dict[str, Model] = {}
+
+
 def fit_words(words: dict[str, int]) -> Model:
-    """The model of clean words found in ``words``."""
-    words = {w: n for w, n in words.items() if not suspicious(w)}
-    judge = Judge(Model.train(words))
-    kept = {w: n for w, n in words.items() if _symbols(w) or max((o for _, o in judge.word(w)), default=0) < WORD_ODDS}
-    return Model.train(kept)
+    """The model of clean words found in ``words``; kept, so that the same words are trained on once a process."""
+    digest = xxhash.xxh3_128_hexdigest("\n".join(f"{w}\t{n}" for w, n in sorted(words.items())))
+    if digest not in _models:
+        clean = {w: n for w, n in words.items() if not suspicious(w)}
+        judge = Judge(Model.train(clean))
+        kept = {w: n for w, n in clean.items() if _symbols(w) or max((o for _, o in judge.word(w)), default=0) < WORD_ODDS}
+        while len(_models) >= KEPT_MODELS:
+            _models.pop(next(iter(_models)))
+        _models[digest] = Model.train(kept)
+    return _models[digest]
 
 
 _OUT = "doc_id bigint, garbled boolean, chain string, restored string, complete boolean"

@@ -81,3 +81,47 @@ def test_judged_table(spark, model):
     assert got[5].garbled and got[5].restored.endswith("Größe über prüften") and len(got[5].restored) < len(long)
     assert values(encoding.garbled(df, model)) == [4, 5]
     assert encoding.garbled(df.where("false")).count() == 0 and encoding.garbled(df.where("doc_id = 3")).count() == 0
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "cp1251", "mac_roman", "cp866", "koi8-r"])
+def test_garbled_up_to_seven_times(model, read):
+    judge = encoding.Judge(model)
+    for t in (" ".join(GERMAN), " ".join(FRENCH), " ".join(RUSSIAN)):
+        for times in range(1, 8):
+            v = judge.text(encoding.garble(t, (("utf-8", read),) * times))
+            assert v.garbled and (v.text == t or not v.complete), (read, times, v)
+            assert v.text == t or read in ("koi8-r", "cp866"), (read, times, v)
+
+
+def test_mixed_misreadings(model):
+    judge, t = encoding.Judge(model), "über die Größe der Häuser änderte"
+    for first in ("cp1252", "latin-1", "mac_roman"):
+        for then in ("cp1252", "cp1251", "cp850"):
+            v = judge.text(encoding.garble(t, (("utf-8", first), ("utf-8", then))))
+            assert v.garbled and v.text == t
+
+
+def test_what_is_lost_is_not_complete(model):
+    judge = encoding.Judge(model)
+    for t in ("StraÃ?en und grÃ¶Ã?er fÃ¼r", "gr?n und fÃ¼r", "Die StraÃ?en"):
+        v = judge.text(t)
+        assert v.garbled and not v.complete, v
+    assert judge.text("Wozu? Für wen?").complete and not judge.text("SÃO? Ã la").garbled
+
+
+def test_one_byte_decoding_is_strict():
+    assert encoding._undo("œ", ("cp1252", "mac_roman")) is not None
+    undefined = bytes([0x81]).decode("mac_roman")  # cp1252 has no character for 0x81
+    assert encoding._undo(undefined, ("cp1252", "mac_roman")) is None
+
+
+def test_a_weaker_vote_that_suffices_counts(model):
+    """Many words with weak votes for one chain don't hide a proven misreading."""
+    judge = encoding.Judge(model)
+    weak = [w for t in texts(300, 7) for w in encoding.WORD.findall(t) if any(encoding.CHAINS[k][0][0] != "utf-8" and o < encoding.WORD_ODDS for k, o in judge.word(w))]
+    assert judge.text(" ".join(sorted(set(weak))[:200] + [encoding.garble("für", (("utf-8", "cp1252"),))])).garbled
+
+
+def test_training_is_kept():
+    words = {"Größe": 3, "für": 2}
+    assert encoding.fit_words(words) is encoding.fit_words(dict(reversed(words.items())))
