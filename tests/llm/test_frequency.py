@@ -50,7 +50,8 @@ def test_counts(spark, partition_rows):
 def test_hot_partitions_are_split(spark):
     df = spark.createDataFrame(build(), FORM)
     folders = frequency.partitions(df, 100)
-    sizes = [spark.read.parquet(f).count() for f in folders]
+    sizes = [spark.read.parquet(f).count() for f, _ in folders]
+    assert sizes == [n for _, n in folders]
     assert sum(sizes) == sum(len([e for e in r[4] or [] if e[0]]) for r in build() if r[2] is not None)
     assert max(sizes) <= 100
 
@@ -59,3 +60,25 @@ def test_empty(spark):
     df = spark.createDataFrame(build(), FORM)
     for none in (df.where("false"), df.where("term is null"), df.where("term = 'null'")):
         assert frequency.counted(none).count() == 0 and values(frequency.marked(none)) == []
+
+
+def test_partitions_grow_rather_than_their_number(spark, monkeypatch):
+    df = spark.createDataFrame(build(), FORM)
+    monkeypatch.setattr(frequency, "MOST_PARTITIONS", 8)
+    folders = frequency.partitions(df, 1)
+    assert len(folders) <= 2 * 4 * 8 and max(n for _, n in folders) <= sum(n for _, n in folders) // 8 + 1
+
+
+@pytest.mark.parametrize("passes", [None, 1, 5])
+def test_one_partition_without_spilling(passes):
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+
+    rows = [("a", f"d{i % 70}", i % 3, i % 5 or None) for i in range(500)] + [("b", "d1", -1, None)]
+    table = pa.table({name: [r[i] for r in rows] for i, name in enumerate(("term", "doc_id", "segment_id", "tf"))})
+    got = defaultdict(lambda: [0, 0, 0])
+    for batch in frequency.aggregated(ds.dataset(table), passes, None, "100MB"):
+        for r in batch.to_pylist():
+            got[r["term"]] = [x + r[c] for x, c in zip(got[r["term"]], ("doc_frequency", "occurrences", "deliveries"))]
+    want, _ = expected([(0, s, t, 1, [(d, tf)], 0) for t, d, s, tf in rows])
+    assert {t: tuple(v) for t, v in got.items()} == {t: want[t] for t in ("a", "b")}
