@@ -19,6 +19,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Terms with at least this share of all merged postings are laid out in salted blocks; there are at most 1/HEAVY_SHARE of them, so their table may be broadcast.
 HEAVY_SHARE = 1 / 1000
 #: Mean number of documents in a block of a posting list.
@@ -26,14 +28,15 @@ BLOCK_DOCS = 4096
 
 
 def positional_states(positional: DataFrame) -> DataFrame:
-    """One compact state a (term, doc_id): rows and the merged, sorted positions."""
+    """One compact state a (term, doc_id): rows and the merged, sorted positions. Rows without a doc_id make one state a term, without positions."""
+    placed = F.when(F.col("doc_id").isNotNull(), F.col("positions"))
     return (
         positional.select("term", "doc_id", "positions")
-        .where("term is not null and doc_id is not null")
+        .where("term is not null")
         .groupBy("term", "doc_id")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("positions"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(placed)))).alias("positions"),
         )
     )
 
@@ -86,20 +89,25 @@ def row_shares(positional: DataFrame, inverted: DataFrame) -> DataFrame:
     )
 
 
+def joined_states(positional: DataFrame, inverted: DataFrame) -> DataFrame:
+    """Both tables reduced to states by (term, doc_id), which no term can make heavy, and the states joined."""
+    return positional_states(positional).join(posting_states(inverted), ["term", "doc_id"], "full_outer")
+
+
 def heavy_terms(positional: DataFrame, inverted: DataFrame, share: float = 0.01) -> DataFrame:
-    """Terms with at least ``share`` of all rows of the positional table: ``term``."""
-    return row_shares(positional, inverted).where(F.col("n_rows") >= F.lit(Decimal(str(share))) * F.col("total_rows")).where("n_rows > 0").select("term")
+    """Terms with at least ``share`` of all rows of the positional table: ``term``. Rows are summed up by term from the joined states."""
+    rows = joined_states(positional, inverted).groupBy("term").agg(F.sum("n_rows").alias("n_rows"))
+    total = positional.agg(F.count(F.lit(1)).alias("total_rows")).scalar()
+    return rows.where(F.col("n_rows") >= F.lit(Decimal(str(share))) * total).select("term")
 
 
 def merged_postings(positional: DataFrame, inverted: DataFrame) -> DataFrame:
-    """The complete merged index, one row a (term, doc_id).
+    """The complete merged index, one row a (term, doc_id), from the joined states.
 
-    Both tables are reduced to states by (term, doc_id), which no term can make
-    heavy, and the states are joined. Columns: term, doc_id, positions (null
-    where the positional table has none), tf (null where no list has the pair),
-    n_rows, n_entries, tf_sum.
+    Columns: term, doc_id, positions (null where the positional table has none), tf
+    (null where no list has the pair), n_rows, n_entries, tf_sum.
     """
-    return positional_states(positional).join(posting_states(inverted), ["term", "doc_id"], "full_outer")
+    return joined_states(positional, inverted).where("doc_id is not null")
 
 
 def term_totals(positional: DataFrame, inverted: DataFrame) -> DataFrame:
@@ -126,22 +134,22 @@ def posting_blocks(positional: DataFrame, inverted: DataFrame, block_docs: int =
     """The complete posting list of every term, in blocks of about ``block_docs`` documents.
 
     A list of any length is spread over as many rows as it needs; the block of a
-    document is a hash of its id. Heavy terms (at most 1/HEAVY_SHARE of them)
-    get their block count by broadcast and never meet in one task; the others
-    are joined with theirs. Columns: term, block, n_docs, postings (sorted array
-    of doc_id, tf, positions).
+    document is a hash of its id. Rows of heavy terms (at most 1/HEAVY_SHARE of them)
+    get their block count by broadcast and go straight to their blocks; only those of
+    other terms are joined with theirs by term. The merged index is made once, in the
+    shared folder. Columns: term, block, n_docs, postings (sorted array of doc_id, tf,
+    positions).
     """
-    both = merged_postings(positional, inverted)
-    n = both.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    whole = n.agg(F.sum("df").alias("all_df"))
-    counted = n.withColumn("all_df", whole.scalar()).withColumn("blocks", F.ceil(F.col("df") / block_docs).cast("int"))
-    heavy = counted.where(F.col("df") >= HEAVY_SHARE * F.col("all_df")).where("blocks > 1").select("term", "blocks")
-    middle = counted.where(F.col("df") < HEAVY_SHARE * F.col("all_df")).where("blocks > 1").select("term", F.col("blocks").alias("m_blocks"))
-    placed = (
-        both.join(F.broadcast(heavy), "term", "left")
-        .join(middle, "term", "left")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", "m_blocks", F.lit(1))).cast("int"))
-    )
+    both = stored(merged_postings(positional, inverted).select("term", "doc_id", "tf", "positions"), "merged")
+    wide = both.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > block_docs)
+    wide = stored(wide.withColumn("blocks", F.ceil(F.col("df") / block_docs).cast("int")), "wide")
+    least = HEAVY_SHARE * both.agg(F.count(F.lit(1)).alias("n")).scalar()
+    heavy = F.broadcast(wide.where(F.col("df") >= least).select("term", "blocks"))
+    middle = wide.where(F.col("df") < least).select("term", "blocks")
+    hot = both.join(heavy, "term")
+    rest = both.join(heavy, "term", "left_anti").join(middle, "term", "left")
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    placed = hot.unionByName(rest).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(number, F.col("blocks"))).otherwise(0).cast("int"))
     return placed.groupBy("term", "block").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.array_sort(F.collect_list(F.struct("doc_id", "tf", "positions"))).alias("postings"),

@@ -39,6 +39,7 @@ RANGE, PREFIX = ("inf", "inz"), "post"
 MISSPELLED = ["vacine", "qurey", "retreival", "vaccine", "precison", "xqzwv"]
 COSINE = ["boolean query posting list", "vaccine trial", "court verdict zzzz"]
 TFIDF_DIGITS = 6
+P1_BLOCK = heavy_keys.BLOCK_DOCS
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -487,8 +488,10 @@ def p1_merged_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_posting_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The complete posting list of every term, in blocks."""
-    return heavy_keys.posting_blocks(*_indexes(spark, d))
+    """The complete posting list of every term, in blocks; postings are printed as doc(tf)[positions]."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    entry = lambda p: F.concat(p["doc_id"], F.lit("("), blank(p["tf"].cast("string")), F.lit(")["), blank(F.array_join(p["positions"], ",")), F.lit("]"))
+    return heavy_keys.posting_blocks(*_indexes(spark, d), P1_BLOCK).withColumn("postings", F.array_join(F.transform("postings", entry), " "))
 
 
 #: The query that the entry point runs.

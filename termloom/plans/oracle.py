@@ -162,6 +162,12 @@ def heavy_key_sql() -> dict[str, str]:
         "p1_merged_postings": _STATES
         + """ select term, doc_id, case when n_rows is null then null else coalesce(array_to_string(positions, ','), '') end as positions, tf, n_rows, n_entries, tf_sum
             from pos full join inv using (term, doc_id)""",
+        "p1_posting_blocks": _STATES
+        + f""", both_ as (select term, doc_id, tf, positions from pos full join inv using (term, doc_id)),
+            wide as (select term, ceil(count(*) / {c.P1_BLOCK})::int as blocks from both_ group by term)
+            select term, if(blocks > 1, (('0x' || substring(md5(doc_id), 1, 8))::bigint % blocks)::int, 0) as block, count(*) as n_docs,
+                   string_agg(doc_id || '(' || coalesce(tf::varchar, '') || ')[' || coalesce(array_to_string(positions, ','), '') || ']', ' ' order by doc_id) as postings
+            from both_ join wide using (term) group by all""",
     }
 
 

@@ -66,4 +66,21 @@ def test_empty_tables(tables):
     positional, inverted, *_ = tables
     none = positional.where("false"), inverted.where("false")
     assert H.heavy_terms(*none).count() == H.merged_postings(*none).count() == H.term_totals(*none).count() == H.posting_blocks(*none).count() == H.row_shares(*none).count() == 0
-    assert H.merged_postings(positional, none[1]).count() == H.positional_states(positional).count()
+    assert H.merged_postings(positional, none[1]).count() == H.positional_states(positional).where("doc_id is not null").count()
+    assert values(H.heavy_terms(positional, none[1])) == ["hot"]
+
+
+def test_rows_without_a_document_count(spark):
+    positional = spark.createDataFrame([("a", None, [1], 0)] * 3 + [(f"t{i}", "d", [1], 0) for i in range(7)] + [(None, None, None, 0)] * 2, POS)
+    inverted = spark.createDataFrame([(1, 0, "a", 1, [("d", 1)], 0)], INV)
+    assert values(H.heavy_terms(positional, inverted, 0.25)) == ["a"] and values(H.heavy_terms(positional, inverted, 0.26)) == []
+    assert [r.n_rows for r in H.merged_postings(positional, inverted).where("term = 'a'").collect()] == [None]
+
+
+def test_only_terms_that_are_not_heavy_are_joined_by_term(tables, monkeypatch):
+    positional, inverted, *_ = tables
+    rows = lambda df: values(df.selectExpr("term", "block", "n_docs", "to_json(postings)"))
+    plain = rows(H.posting_blocks(positional, inverted, block_docs=50))
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(H, "HEAVY_SHARE", share)
+        assert rows(H.posting_blocks(positional, inverted, block_docs=50)) == plain
