@@ -37,28 +37,42 @@ def simple_tokenize(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), ALL_EDGES, ""), BLANKS), lambda x: x != "")
 
 
+#: Abbreviations whose period ends no sentence, though a capital follows. Those of single letters (as e.g. or J.) never do.
+ABBREVIATIONS = tuple(
+    """Dr Mr Mrs Ms Prof St Jr Sr Gen Col Sgt Lt Capt Rev Hon Gov Sen Rep Pres Fig Figs Eq Eqs Ref Refs Sec Ch Vol No Nos Nr pp vs cf al etc ca approx
+    Inc Ltd Co Corp Bros Univ Dept Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec bzw usw evtl ggf inkl vgl Abb Tab Str Mme Mlle Sra Srta""".split()
+)
+#: What stands for the period of an abbreviation while sentences are split.
+_KEPT = "\x01"
+_CONTRACTED = ("can|not", "gim|me", "gon|na", "got|ta", "lem|me", "wan|na")
+#: The public Penn Treebank rules, in order, as patterns and what stands for them.
+TREEBANK = (
+    (r'^"', "`` "),  # opening quotes
+    (r'([ (\[{<])("|\'\')', "$1 `` "),
+    (r"([:,])([^\d]|$)", " $1 $2"),
+    (r"\.\.\.", " ... "),
+    (r"([;@#$%&])", " $1 "),
+    (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "),  # the last period of the text
+    (rf"\b({'|'.join(ABBREVIATIONS)})\.(\s)", f"$1{_KEPT}$2"),
+    (r"([^.\s]{2,})\.(\s+[A-ZÀ-ÖØ-ÞА-Я“\"(])", "$1 .$2"),  # and of each sentence
+    (_KEPT, "."),
+    (r"([?!])", " $1 "),
+    (r"([^'])' ", "$1 ' "),
+    (r"([\[\](){}<>])", " $1 "),
+    (r"--", " -- "),
+    (r'"', " '' "),
+    (r"$", " "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    *((rf"(?i)\b({a})({b})\b", "$1 $2") for a, b in (c.split("|") for c in _CONTRACTED)),
+)
+
+
 def treebank_tokenize(text: Column) -> Column:
-    """Words and punctuation as tokens of their own, after the public Penn Treebank rules; contractions are split."""
+    """Words and punctuation as tokens of their own, after the public Penn Treebank rules; contractions are split, abbreviations keep their period."""
     t = F.coalesce(text, F.lit(""))
-    for pattern, put in (
-        (r'^"', "`` "),  # opening quotes
-        (r'([ (\[{<])("|\'\')', "$1 `` "),
-        (r"([:,])([^\d]|$)", " $1 $2"),
-        (r"\.\.\.", " ... "),
-        (r"[;@#$%&]", " $0 "),
-        (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "),  # the last period of the text
-        (r"([^.\s]{2,})\.(\s+[A-ZÀ-ÖØ-ÞА-Я“\"(])", "$1 .$2"),  # and of each sentence
-        (r"[?!]", " $0 "),
-        (r"([^'])' ", "$1 ' "),
-        (r"[\[\](){}<>]", " $0 "),
-        (r"--", " -- "),
-        (r'"', " '' "),
-        (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
-        (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
-    ):
-        t = F.regexp_replace(F.concat(t, F.lit(" ")) if put.endswith("$2 ") else t, pattern, put)
-    for pattern in (r"(?i)\b(can)(not)\b", r"(?i)\b(gim)(me)\b", r"(?i)\b(gon)(na)\b", r"(?i)\b(got)(ta)\b", r"(?i)\b(lem)(me)\b", r"(?i)\b(wan)(na)\b"):
-        t = F.regexp_replace(t, pattern, "$1 $2")
+    for pattern, put in TREEBANK:
+        t = F.concat(t, F.lit(put)) if pattern == "$" else F.regexp_replace(t, pattern, put)
     return F.filter(F.split(t, BLANKS), lambda x: x != "")
 
 

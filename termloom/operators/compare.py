@@ -51,9 +51,8 @@ def _summary(sims: DataFrame, name: str) -> DataFrame:
 
 def compare_stem_vs_lemma(docs: DataFrame, queries: DataFrame, lexicon: DataFrame | None = None, stemmer: str = "porter") -> DataFrame:
     """One row a query: matches and average similarity of the matching documents with stems and with lemmas, and which is better, else Tie. An empty collection gives Ties of 0."""
-    words = lexicon if lexicon is not None else final_tokens(docs, PreprocessConfig()).select(F.explode("final_tokens").alias("term"))
     stem = _summary(cosine(docs, queries, PreprocessConfig(do_stem=True, stemmer=stemmer)), "Stem")
-    lemma = _summary(cosine(docs, queries, PreprocessConfig(do_lemma=True), words), "Lemma")
+    lemma = _summary(cosine(docs, queries, PreprocessConfig(do_lemma=True), lexicon), "Lemma")
     out = queries.select("query").distinct().join(stem, "query", "left").join(lemma, "query", "left").na.fill(0)
     s, m = F.col("`Stem Avg. Similarity`"), F.col("`Lemma Avg. Similarity`")
     return out.select(

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import stored
 
-#: Parts in which a search looks for the terms it visits; each part's are few.
+#: Parts at least in which a search looks for the terms it visits, four for each core on larger clusters; each part's are few.
 PARTS = 64
 
 
@@ -47,7 +47,7 @@ def size(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.agg(F.count_distinct("term").alias("size"))
 
 
-def bst_search(vocabulary: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+def bst_search(vocabulary: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """query, found and comparisons (nodes visited) of each key.
 
     The terms visited are found in hash parts first, each with few, then among
@@ -55,6 +55,7 @@ def bst_search(vocabulary: DataFrame, keys: list[str], parts: int = PARTS) -> Da
     """
     keys = list(dict.fromkeys(keys))
     spark = vocabulary.sparkSession
+    parts = parts or max(PARTS, 4 * spark.sparkContext.defaultParallelism)
     tree = with_priority(vocabulary)
     asked = spark.createDataFrame([(k,) for k in keys], "query string").withColumn("own", F.md5(F.col("query").cast("binary")))
     # the keys are a handful given by the caller

@@ -215,14 +215,10 @@ def build_phonetic_index(vocabulary: DataFrame, method: str = "soundex") -> Data
 
 def phonetic_index_to_dataframe(phonetic: DataFrame, top_n: int = 30) -> DataFrame:
     """The ``top_n`` codes that more than one term shares, by number of terms, ties by least term."""
-    return (
-        phonetic.groupBy("code")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first"), F.sort_array(F.collect_list("term")).alias("terms"))
-        .where("n > 1")
-        .orderBy(F.desc("n"), "first")
-        .limit(top_n)
-        .select(F.col("code").alias("Code"), F.col("n").alias("Terms"), _listed(F.col("terms")).alias("Vocabulary"))
-    )
+    top = phonetic.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first")).where("n > 1").orderBy(F.desc("n"), "first").limit(top_n)
+    # terms are gathered for the codes of the table only
+    terms = phonetic.join(F.broadcast(top.select("code")), "code").groupBy("code").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    return top.join(terms, "code").orderBy(F.desc("n"), "first").select(F.col("code").alias("Code"), F.col("n").alias("Terms"), _listed(F.col("terms")).alias("Vocabulary"))
 
 
 # previews

@@ -7,6 +7,7 @@ outer punctuation, hyphens kept.
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,7 @@ def false_positive_demo(spark) -> dict[str, DataFrame]:
     """The two-document demonstration: documents, and the biword, positional, candidate and false-positive documents of its phrase."""
     from .index import build_biword_index, build_positions
 
+    # fixed values: the texts of the demonstration
     docs = spark.createDataFrame(
         [
             ("demo_doc1", "information systems are used for retrieval of data. retrieval information is key in modern search."),
@@ -130,6 +132,30 @@ def false_positive_demo(spark) -> dict[str, DataFrame]:
     }
 
 
+def account(query: str, biwords: DataFrame, positions: DataFrame) -> DataFrame:
+    """What a phrase's answer rests on: kind (biword or term), item, place (of its first mention), n_docs of its postings and missing, whether no document has it."""
+    asked = [("biword", b) for b in dict.fromkeys(query_biwords(query))] + [("term", w) for w in dict.fromkeys(query_words(query))]
+    spark = biwords.sparkSession
+    listed = spark.createDataFrame([(kind, item, i) for i, (kind, item) in enumerate(asked)], "kind string, item string, place int")
+    own = postings(query, biwords, positions).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n_docs"))
+    joined = listed.join(F.broadcast(own), ["kind", "item"], "left")  # a row an item of the query
+    return joined.select("kind", "item", "place", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.col("n_docs").isNull().alias("missing"))
+
+
+def postings(query: str, biwords: DataFrame, positions: DataFrame) -> DataFrame:
+    """kind (biword or term), item and doc_id: the postings of each biword and word of a phrase."""
+    pairs = biwords.where(F.col("biword").isin(query_biwords(query))).select(F.lit("biword").alias("kind"), F.col("biword").alias("item"), "doc_id")
+    words = positions.where(F.col("term").isin(query_words(query))).select(F.lit("term").alias("kind"), F.col("term").alias("item"), "doc_id")
+    return pairs.union(words).distinct()
+
+
+def timed(answer: DataFrame) -> tuple[DataFrame, float]:
+    """A query's answer and the milliseconds (3 places) that making all its rows once took."""
+    began = time.perf_counter()
+    answer.write.format("noop").mode("overwrite").save()
+    return answer, round((time.perf_counter() - began) * 1000, 3)
+
+
 def describe(query: str) -> dict:
     """The driver-side account of a phrase: its words and biwords."""
     return {"query": query, "query_tokens": query_words(query), "biwords": query_biwords(query)}

@@ -1,4 +1,4 @@
-"""The preprocessing pipeline: one row a document, one column a stage. No stage but the lemmatizer moves rows."""
+"""The preprocessing pipeline: one row a document, one column a stage. No stage but a lemmatizer with a lexicon moves rows."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def preprocess(docs: DataFrame, cfg: PreprocessConfig = PreprocessConfig(), lexi
     Order: tokenize, lower-case, expand hyphens, keep words, remove stop words, then
     lemmatize and stem as asked; with both, stems are of lemmas, and so are the keys
     of stem_map. A null text counts as empty. ``lexicon`` (term) is what lemmas are
-    looked up in; without it, the collection's own words. Columns of ``docs`` of the
+    looked up in (see ``lemmas``); without it they come from rules. Columns of ``docs`` of the
     stages' names are replaced.
     """
     tokenize = T.treebank_tokenize if cfg.tokenizer == "treebank" else T.simple_tokenize

@@ -6,6 +6,7 @@ phrases and patterns they ask for are given once, below, and used by the SQL too
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_distance, indel_ratio
 from ..operators import boolean, compare, dictionary, heavy_keys, index, lemmas, phrase, spelling, tolerant, wildcard
-from ..operators.preprocess import PreprocessConfig, changed_map, exploded, final_tokens, preprocess, stem_tokens
+from ..operators.collection import Collection
+from ..operators.preprocess import PreprocessConfig, changed_map, exploded, final_tokens, preprocess, stem_tokens, timed_preprocess
 from ..session import scratch, spread, stored, table
 from ..sources import documents as sources
 from ..sources import index_store
@@ -97,6 +99,11 @@ def bool_terms_or(spark: SparkSession, d: str) -> DataFrame:
 # preprocessing
 
 
+def timed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Final tokens of the timed pipeline."""
+    return exploded(timed_preprocess(docs(spark, d))[0])
+
+
 def tok_treebank(spark: SparkSession, d: str) -> DataFrame:
     """Final tokens by the Treebank-like tokenizer."""
     return _stage("final_tokens", tokenizer="treebank")(spark, d)
@@ -128,6 +135,11 @@ def lemma_tokens(spark: SparkSession, d: str) -> DataFrame:
     return exploded(final_tokens(docs(spark, d), PreprocessConfig(do_lemma=True, do_stem=True)))
 
 
+def lemma_final(spark: SparkSession, d: str) -> DataFrame:
+    """Final tokens, lemmatized."""
+    return exploded(final_tokens(docs(spark, d), PreprocessConfig(do_lemma=True)))
+
+
 # indexes and their tables
 
 
@@ -267,6 +279,18 @@ def phrase_compare_observed(spark: SparkSession, d: str) -> DataFrame:
     return phrase.compare_indexes(PHRASES["phrase_biword"], docs(spark, d), _biwords(spark, d), _positions(spark, d), "observed")
 
 
+def phrase_demo(spark: SparkSession, d: str) -> DataFrame:
+    """The two-document demonstration: the documents of each kind of answer."""
+    parts = [found.select(F.lit(kind).alias("kind"), "doc_id") for kind, found in phrase.false_positive_demo(spark).items()]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def phrase_account(spark: SparkSession, d: str) -> DataFrame:
+    """Each word and biword of a phrase with the number of its documents, and whether any document has it."""
+    asked = PHRASES["phrase_biword"] + " zzz"
+    return phrase.account(asked, _biwords(spark, d), _positions(spark, d))
+
+
 # dictionary
 
 
@@ -315,6 +339,12 @@ def dict_depths(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.bst_depths(_vocabulary(spark, d))
 
 
+def dict_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Both searches of some keys, timed; without the times, which differ from run to run."""
+    timed = dictionary.benchmark(_vocabulary(spark, d), KEYS, n_repeats=2)
+    return spark.createDataFrame(timed[["Query", "Found (BST)", "BST Steps", "Found (B-Tree)"]])
+
+
 # k-grams and wildcards
 
 
@@ -392,6 +422,16 @@ def metaphone_groups(spark: SparkSession, d: str) -> DataFrame:
     return index.phonetic_index_to_dataframe(index.build_phonetic_index(_vocabulary(spark, d), "metaphone"))
 
 
+def phonetic_index(spark: SparkSession, d: str) -> DataFrame:
+    """The phonetic index by Soundex."""
+    return index.build_phonetic_index(_vocabulary(spark, d))
+
+
+def phonetic_match_soundex(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the Soundex code of a misspelled word."""
+    return spelling.phonetic_matches(MISSPELLED[0], index.build_phonetic_index(_vocabulary(spark, d)))
+
+
 def phonetic_match(spark: SparkSession, d: str) -> DataFrame:
     """Terms that sound like a misspelled word, by both methods."""
     v = _vocabulary(spark, d)
@@ -403,6 +443,8 @@ def _tolerant(query: str, what: str) -> Query:
         p = stored(_postings(spark, d), "postings")  # an index is made once and asked often
         v = p.select("term").distinct()
         found = tolerant.tolerant_search(query, p, v, index.build_kgram_index(v), index.build_phonetic_index(v), index.build_phonetic_index(v, "metaphone"))
+        if what == "spelled":  # all but what Metaphone adds
+            return found.terms.where("via <> 'metaphone'")
         return found.docs if what == "docs" else found.terms
 
     run.__doc__ = f"The {what} of tolerant search for {query!r}."
@@ -428,10 +470,43 @@ def compare_stem_lemma(spark: SparkSession, d: str) -> DataFrame:
 
 def source_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The documents with those of another collection put in."""
-    old = table(spark, d, "doc_collection").where("text is not null").select("doc_id", "text").distinct()
+    old = table(spark, d, "doc_collection").select("doc_id", "text").distinct()
     return sources.upsert(old, docs(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
+def source_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, written as CSV and read again; null texts come back as empty ones."""
+    path = scratch(spark, "csv")
+    docs(spark, d).withColumn("text", F.coalesce("text", F.lit(""))).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return sources.read_rows(spark, path, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def sample_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Words and characters of the sample documents."""
+    return index.collection_preview(sources.sample_documents(spark)).drop("preview")
+
+
+def collection_answers(spark: SparkSession, d: str) -> DataFrame:
+    """One collection, asked a boolean, a phrase, a wildcard and an exact query."""
+    c = Collection(docs(spark, d))
+    found = {
+        "boolean": c.boolean(BOOLEAN["bool_nested"]),
+        "phrase": c.phrase(PHRASES["phrase_positional"]),
+        "wildcard": wildcard.documents_of(c.wildcard(WILDCARDS["wildcard_prefix"]), c.postings),
+        "exact": c.tolerant("vaccine").docs,
+    }
+    out = stored(functools.reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), "doc_id") for kind, df in found.items()]), "answers")
+    c.clear()
+    return out
+
+
+def store_json_object(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index, written as one JSON object and read again."""
+    path = scratch(spark, "json")
+    index_store.export_json(_postings(spark, d), path, whole=True)
+    return index_store.import_json(spark, path, whole=True).select("term", F.col("doc_id").cast("bigint").alias("doc_id"), "tf")
+
+
 def store_parquet(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index, written and read again."""
     path = scratch(spark, "index")
@@ -455,8 +530,12 @@ def stream_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Event types in hourly windows."""
-    return stream.windowed_term_counts(table(spark, d, "events"), "ts", "event_type")
+    """Event types in hourly windows, counted over the events as a stream."""
+    path = scratch(spark, "windows")
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    # event time must be an instant; times without a zone are taken in the session's, there and back
+    stream.start_windows(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", path).awaitTermination()
+    return stream.read_windows(spark, path).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 # heavy keys (problem 1)
@@ -501,13 +580,13 @@ FLAGSHIP = "tfidf"
 def queries() -> dict[str, Query]:
     own = (
         p1_found, p1_row_shares, p1_term_totals, p1_merged_postings, p1_posting_blocks,
-        tok_treebank, stem_porter, stem_snowball, stem_map, lemma, lemma_tokens, doc_preview, collection_totals, majority_language, doc_lengths,
+        timed_tokens, tok_treebank, stem_porter, stem_snowball, stem_map, lemma, lemma_tokens, lemma_final, doc_preview, collection_totals, majority_language, doc_lengths,
         inv_set, inv_set_table, inv_tf_postings, inv_tf_table, document_frequencies, tfidf, index_stats, index_stats_table, top10_df, singleton_terms, vocab,
-        biword_index, biword_table, positional_index, positional_table, phrase_candidates, phrase_false_positives, phrase_starts, phrase_compare, phrase_compare_observed,
-        dict_inorder, dict_search_rank, dict_range, dict_prefix, dict_prefix_observed, dict_bst_search, dict_update, dict_stats, dict_depths,
+        biword_index, biword_table, positional_index, positional_table, phrase_candidates, phrase_false_positives, phrase_starts, phrase_compare, phrase_compare_observed, phrase_demo, phrase_account,
+        dict_inorder, dict_search_rank, dict_range, dict_prefix, dict_prefix_observed, dict_bst_search, dict_update, dict_stats, dict_depths, dict_benchmark,
         kgram_index, kgram_top, wildcard_observed, wildcard_docs, edit_distances, indel_ratios, spell_suggest, spell_best, spell_table,
-        soundex_codes, soundex_groups, metaphone_groups, phonetic_match, cosine_rank, compare_stem_lemma, bool_setops, bool_terms_and, bool_terms_or,
-        source_upsert, store_parquet, store_json, stream_postings, stream_windows,
+        soundex_codes, soundex_groups, metaphone_groups, phonetic_index, phonetic_match_soundex, phonetic_match, cosine_rank, compare_stem_lemma, bool_setops, bool_terms_and, bool_terms_or,
+        source_upsert, source_csv, sample_preview, collection_answers, store_parquet, store_json, store_json_object, stream_postings, stream_windows,
     )
     made = {
         "tok_simple": _stage("raw_tokens"),
@@ -524,6 +603,7 @@ def queries() -> dict[str, Query]:
         "tolerant_wildcard": _tolerant("Vacc*", "docs"),
         "tolerant_exact": _tolerant(" Vaccine ", "docs"),
         "tolerant_corrected": _tolerant(MISSPELLED[0], "terms"),
+        "tolerant_corrected_spelled": _tolerant(MISSPELLED[0], "spelled"),
         "tolerant_corrected_docs": _tolerant(MISSPELLED[0], "docs"),
     }
     for name, f in made.items():

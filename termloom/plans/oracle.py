@@ -5,8 +5,13 @@ Each is written on its own from the definition of its query, from the tables up.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from ..functions import text as T
+from ..operators import lemmas
 from ..operators.phrase import NOTES
+from ..sources.documents import SAMPLE
 from . import catalogue as c
 
 
@@ -133,6 +138,74 @@ nq as (select query, sqrt(sum(w * w)) as norm from wq group by query)
 select wq.query as query, w.doc_id as doc_id, round(sum(w.w / norm.norm * (wq.w / nq.norm)), {c.TFIDF_DIGITS}) as sim
 from w join wq using (term) join norm on norm.doc_id = w.doc_id join nq on nq.query = wq.query group by all"""
 
+#: Edit distance by code points: a misspelling is plain ASCII, so what isn't in a term may be any one other byte.
+def _distance(term: str, query: str) -> str:
+    return f"levenshtein(regexp_replace({term}, '[^\\x00-\\x7f]', chr(1), 'g'), {query})"
+
+
+def _common(term: str, query: str) -> str:
+    """Length of the longest common subsequence, by one bit for each character of the query."""
+    bits = f"list_transform(string_split({term}, ''), lambda ch: list_sum(list_transform(range(length({query})), lambda i: if(substring({query}, i::int + 1, 1) = ch, 1::bigint << i::int, 0)))::bigint)"
+    full = f"((1::bigint << length({query})::int) - 1)"
+    row = f"list_reduce(list_prepend({full}, {bits}), lambda r, m: ((r + (r & m)) | (r & ~m)) & {full})"
+    return f"(length({query}) - bit_count({row}))"
+
+
+_SPELLED = f""", wrong as (select unnest({[q for q in dict.fromkeys(c.MISSPELLED)]}) as query),
+pairs as (select query, term, 200.0::double * {_common("term", "query")} / (length(term) + length(query)) as score from vocabulary, wrong where query not in (select term from vocabulary)),
+rated as (select *, row_number() over (partition by query order by score desc, term) as n from pairs where score >= 50 qualify n <= 15),
+near as (select *, {_distance("term", "query")} as distance from rated where {_distance("term", "query")} <= 2),
+placed as (select *, row_number() over (partition by query order by distance, score desc, n) as place from near qualify place <= 5),
+suggested as (select query, place::int as place, term, score, distance::int as distance from placed
+              union all select query, 1, query, 100.0, 0 from wrong where query in (select term from vocabulary))"""
+
+
+def _forms() -> str:
+    """Characters that Soundex sees otherwise than as their own capital, by rule from the character database (Hangul and Han forms, which have no code, left out)."""
+    made = {}
+    for o in (*range(0x80, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)):
+        form = unicodedata.normalize("NFKD", chr(o)).upper()
+        if form != chr(o):
+            made[chr(o)] = form
+    return "map([" + ", ".join(map(_quoted, made)) + "], [" + ", ".join(map(_quoted, made.values())) + "])"
+
+
+_SOUNDEX = f""", forms as materialized (select {_forms()} as form),
+signs as (select term, array_to_string(list_transform(string_split(term, ''), lambda ch: coalesce(form[ch], upper(ch))), '') as s from vocabulary, forms),
+heard as (select term, substring(s, 1, 1) as head, substring(s, 1, 1) || regexp_replace(substring(s, 2), '[HW]', '', 'g') as s from signs),
+spoken as (select term, head, list_transform(string_split(s, ''), lambda ch: case when strpos('BFPVCGJKQSXZDTLMNR', ch) > 0 then translate(ch, 'BFPVCGJKQSXZDTLMNR', '111122222222334556') else '0' end) as d from heard),
+codes as (select term, substring(head || array_to_string(list_filter(list_transform(range(2, len(d) + 1), lambda i: case when d[i] <> d[i - 1] then d[i] else '0' end), lambda x: x <> '0'), '') || '000', 1, 4) as code from spoken)"""
+
+_MISSED = _quoted(c.MISSPELLED[0])
+_SAME_CODE = f"select code, term from codes where code = (select substring(upper({_MISSED}), 1, 1) || '250')"
+
+_DEPTHS = """, walked(term, prio, part, depth) as (
+    select term, md5(term), '', 1::bigint from vocabulary
+    union all
+    select term, prio, part || if(term < root, 'l', 'r'), depth + 1
+    from (select *, first_value(term) over (partition by part order by prio) as root from walked) where term <> root
+), depths as (select term, max(depth) as depth from walked group by term),
+shape as (select count(*) as size, max(depth) as height from depths)"""
+
+
+def _rules(pos: str, word: str) -> str:
+    """The lemma of a word by the rules of a part of speech."""
+    cases = "".join(f" when regexp_matches({word}, {_quoted(p)}) then " + (word if put == "$0" else f"regexp_replace({word}, {_quoted(p)}, {_quoted(re.sub(r'[$](.)', chr(92) + r'\1', put))})") for p, put in lemmas.RULES[pos])
+    special = "".join(f" when {word} = {_quoted(a)} then {_quoted(b)}" for a, b in lemmas.IRREGULAR[pos].items())
+    return f"case{special}{cases} else {word} end"
+
+
+def _lemma(word: str) -> str:
+    return f"(case when {_rules('n', word)} <> {word} then {_rules('n', word)} else {_rules('v', word)} end)"
+
+
+def _treebank(text: str) -> str:
+    for pattern, put in T.TREEBANK:
+        text = f"{text} || {_quoted(put)}" if pattern == "$" else f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(re.sub('[$]([0-9])', chr(92) * 2 + chr(92) + '1', put))}, 'g')"
+        text = f"({text})"
+    return f"list_filter(regexp_split_to_array({text}, {_quoted(T.BLANKS)}), lambda x: x <> '')"
+
+
 _POSTINGS = "select term, doc_id, tf from post"
 
 _STATES = """
@@ -171,6 +244,13 @@ def heavy_key_sql() -> dict[str, str]:
     }
 
 
+_RECURSIVE = _WORDS.replace("with docs", "with recursive docs", 1)
+_ASKED = [("biword", "mean average"), ("biword", "average precision"), ("biword", "precision zzz"), ("term", "mean"), ("term", "average"), ("term", "precision"), ("term", "zzz")]
+#: The observed reading of a wildcard pads each part once more before it is cut in grams.
+_OBSERVED = ", padded as (select '$$' || rtrim(" + _quoted(c.WILDCARDS["wildcard_prefix"]) + ", '*') || '$' as p), wanted as (select substring(p, i::int, 3) as gram from padded, unnest(range(1, length(p) - 1)) u(i))"
+_SAMPLE = "[" + ", ".join(map(_quoted, SAMPLE)) + "]"
+
+
 def oracle_sql() -> dict[str, str]:
     w = _WORDS
     ids = lambda key, source: f"string_agg({key}, ', ' order by {source})"
@@ -222,15 +302,46 @@ def oracle_sql() -> dict[str, str]:
             firsts as (select top.kgram, n, first_term, min(i) as i from top join grams on grams.kgram = top.kgram and grams.term = first_term group by all order by n desc, first_term, i limit 50)
             select kgram as "K-gram", n as "Terms", (select array_to_string(list_slice(list_sort(list(distinct term)), 1, 10), ', ') from grams g where g.kgram = firsts.kgram) as "Vocabulary" from firsts""",
         **{name: f"{w} select term from vocabulary where term like {_quoted(wild(p))}" for name, p in c.WILDCARDS.items()},
-        "wildcard_observed": f"{w} select term from vocabulary where false",
+        "wildcard_observed": f"{w}{_OBSERVED} select term from vocabulary where term like {_quoted(wild(c.WILDCARDS['wildcard_prefix']))} and not exists (select 1 from wanted where not contains('$' || term || '$', gram))",
         "wildcard_docs": f"{w} select distinct doc_id from post where term like {_quoted(wild(c.WILDCARDS['wildcard_prefix']))}",
-        "edit_distances": f"{w} select term, levenshtein(term, {_quoted(c.MISSPELLED[0])})::bigint as distance from vocabulary where regexp_matches(term, '^[a-z]+$')",
-        "soundex_codes": rf"""{w}, plain as (select term from vocabulary where regexp_matches(term, '^[a-z]+$')),
-            digits as (select term, upper(substring(term, 1, 1)) as head, translate(upper(regexp_replace(term, '[hw]', '', 'g')), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000') as rest,
-                              translate(upper(substring(term, 1, 1)), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000099') as own from plain),
-            whole as (select term, head, case when own = '9' then '9' || rest else rest end as rest from digits),
-            once as (select term, head, list_filter(string_split(rest, ''), lambda x: x <> '') as d from whole)
-            select term, substring(head || array_to_string(list_filter(list_transform(range(2, len(d) + 1), lambda i: case when d[i] <> d[i - 1] and d[i] <> '0' then d[i] else '' end), lambda x: x <> ''), '') || '000', 1, 4) as code from once""",
+        "edit_distances": f"{w} select term, {_distance('term', _MISSED)}::bigint as distance from vocabulary",
+        "indel_ratios": f"{w} select term, 200.0::double * {_common('term', _MISSED)} / (length(term) + length({_MISSED})) as score from vocabulary",
+        "spell_suggest": f"{w}{_SPELLED} select * from suggested",
+        "spell_best": f"{w}{_SPELLED} select query, coalesce(distance, -1) = 0 as in_vocab, coalesce(term, query) as best_match from wrong left join (from suggested where place = 1) using (query)",
+        "spell_table": f"""{w}{_SPELLED} select term as "Suggested Term", round(score, 2) as "Similarity Score", distance as "Edit Distance" from suggested where query = {_MISSED}""",
+        "tolerant_corrected_spelled": f"""{w}{_SPELLED}{_SOUNDEX} select coalesce(term, query) as term, 'spelling' as via from wrong left join (from suggested where place = 1) using (query) where query = {_MISSED}
+            union all select term, 'soundex' from ({_SAME_CODE})""",
+        "phonetic_index": f"{w}{_SOUNDEX} select 'soundex' as method, code, term from codes where code <> ''",
+        "phonetic_match_soundex": f"{w}{_SOUNDEX} {_SAME_CODE}",
+        "soundex_groups": f"""{w}{_SOUNDEX} select code as "Code", count(*) as "Terms", string_agg(term, ', ' order by term) as "Vocabulary" from codes where code <> '' group by code having count(*) > 1 order by count(*) desc, min(term) limit 30""",
+        "dict_depths": f"{_RECURSIVE}{_DEPTHS} select term, depth from depths",
+        "dict_stats": f"""{_RECURSIVE}{_DEPTHS} select 'Vocabulary size' as "Property", size::varchar as "BST", size::varchar as "B-Tree" from shape
+            union all select 'Tree height', height::varchar, 'O(log n)' from shape union all select 'Ideal log₂(n) height', round(log2(size + 1), 2)::varchar, '—' from shape
+            union all select 'Is balanced', if(height <= 2 * log2(size + 1), 'True', 'False'), 'Always' from shape
+            union all select 'Search complexity', 'O(h) worst O(n)', 'O(log n) guaranteed' union all select 'Insert complexity', 'O(h)', 'O(log n)'""",
+        "dict_benchmark": f"""select query as "Query", if(found, '✅', '❌') as "Found (BST)", comparisons as "BST Steps", if(query in ({w} select term from vocabulary), '✅', '❌') as "Found (B-Tree)" from ({_BST})""",
+        "tok_treebank": f"""with docs as (select doc_id, coalesce(text, '') as text from documents), raw as (select doc_id, {_treebank("text")} as raw from docs),
+            low as (select doc_id, list_transform(raw, lambda x: lower(x)) as low from raw),
+            hyp as (select doc_id, flatten(list_transform(low, lambda t: case when contains(t, '-') then list_concat([t], string_split(t, '-')) else [t] end)) as hyp from low),
+            fin as (select doc_id, list_filter(hyp, lambda t: regexp_matches(t, '[a-zA-Z0-9]') and lower(t) not in {_list(T.STOP_WORDS)}) as fin from hyp)
+            select doc_id, unnest(range(len(fin)))::int as pos, unnest(fin) as token from fin""",
+        "timed_tokens": _stage("final_tokens"),
+        "lemma": f"{w} select term as token, {_lemma('term')} as lemma from vocabulary where {_lemma('term')} <> term",
+        "lemma_final": f"{w}, lemmas as (select term, {_lemma('term')} as lemma from vocabulary) select doc_id, pos::int as pos, lemma as token from toks join lemmas using (term)",
+        "phrase_demo": """with d(doc_id, first, second) as (values ('demo_doc1', 'information systems are', 'retrieval information is'), ('demo_doc2', 'information retrieval is', ''))
+            select 'documents' as kind, doc_id from d union all select unnest(['biword', 'positional']), doc_id from d where contains(first || '|' || second, 'information retrieval')
+            union all select 'candidates', doc_id from d where contains(first || second, 'information') and contains(first || second, 'retrieval')
+            union all select 'false_positives', doc_id from d where not contains(first || '|' || second, 'information retrieval')""",
+        "phrase_account": f"""{w}, asked(kind, item, place) as (values {", ".join(f"({_quoted(k)}, {_quoted(x)}, {i})" for i, (k, x) in enumerate(_ASKED))}),
+            have as (select 'biword' as kind, biword as item, count(*) as n_docs from bi group by biword union all select 'term', term, count(distinct doc_id) from places group by term)
+            select kind, item, place::int as place, coalesce(n_docs, 0)::bigint as n_docs, n_docs is null as missing from asked left join have using (kind, item)""",
+        "collection_answers": f"""{w} select 'boolean' as kind, doc_id from docs where ({_has('vaccine')} or {_has('query')}) and not ({_has('index')} or {_has('ward')})
+            union all select 'phrase', doc_id from (select distinct doc_id from ({_starts(c.PHRASES['phrase_positional'])}))
+            union all select 'wildcard', doc_id from (select distinct doc_id from post where term like 'vacc%') union all select 'exact', doc_id from (select distinct doc_id from post where term = 'vaccine')""",
+        "sample_preview": f"select 'sample' || (i - 1) || '.txt' as doc_id, len(string_split(text, ' '))::bigint as words, length(text)::bigint as chars from (select unnest({_SAMPLE}) as text, unnest(range(1, 9)) as i)",
+        "source_csv": "select doc_id::varchar as doc_id, coalesce(text, '') as text from documents",
+        "store_json_object": f"{w} {_POSTINGS}",
+        "soundex_codes": f"{w}{_SOUNDEX} select term, code from codes",
         **_boolean_sql(),
         "bool_setops": f"{w} select doc_id from post where term = 'query' intersect select doc_id from post where term = 'posting' union (select doc_id from docs except select doc_id from post where term = 'list')",
         "bool_terms_and": f"{w} select doc_id from post where term in ('query', 'posting', 'list') group by doc_id having count(distinct term) = 3",
@@ -238,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
         "tolerant_wildcard": f"{w} select distinct doc_id from post where term like 'vacc%'",
         "tolerant_exact": f"{w} select distinct doc_id from post where term = 'vaccine'",
         "cosine_rank": _VECTORS,
-        "source_upsert": """select distinct doc_id, text from doc_collection where text is not null and doc_id not in (select doc_id::varchar from documents)
+        "source_upsert": """select distinct doc_id, text from doc_collection where doc_id not in (select doc_id::varchar from documents)
             union all select doc_id::varchar, text from documents""",
         "store_parquet": f"{w} {_POSTINGS}",
         "store_json": f"{w} {_POSTINGS}",

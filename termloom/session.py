@@ -34,15 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _folder(spark: SparkSession):
+    """This application's part of the shared folder, as Hadoop's path and file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "termloom", context.applicationId))
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return os.path.join(shared_dir(spark), "termloom", f"{name}-{uuid.uuid4().hex}")
+    """A new path for a table in the shared folder. What an application leaves there goes when it ends, or by ``clean_scratch``."""
+    context = spark.sparkContext
+    path, fs = _folder(spark)
+    if not getattr(context, "_termloom_scratch", False):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        context._termloom_scratch = True
+    return os.path.join(path.toString(), f"{name}-{uuid.uuid4().hex}")
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Delete the tables that operators left in the shared folder. Frames made before read them still: call it when their results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "termloom"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that this application's operators left in the shared folder. Frames made before read them still: call it when their results are written."""
+    path, fs = _folder(spark)
+    fs.delete(path, True)
+    above = path.getParent()
+    if fs.exists(above) and not fs.listStatus(above):
+        fs.delete(above, False)
+    spark.sparkContext._termloom_scratch = False
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,17 @@ from pyspark.sql.window import Window as W
 from pyspark.sql.types import StringType
 
 FORM = "doc_id string, text string, doc_ord bigint"
+#: The sample documents.
+SAMPLE = (
+    "Information retrieval finds documents that satisfy an information need.",
+    "A search engine is a well-known software system that answers web queries.",
+    "Stemming reduces inflected words to their stem; lemmatization maps them to a dictionary form.",
+    "Cold-chain storage keeps vaccines stable; the long-term follow-up found no loss (p < 0.05).",
+    "The boolean operators AND, OR and NOT combine posting lists.",
+    "A cross-sectional survey (n = 412) asked students’ and nurses’ views: 63% ± 4% would be vaccinated again; costs & side-effects mattered most.",
+    "COVID-19 case counts fell by 18%; the author’s cost-free clinics reached women’s shelters, schools & prisons.",
+    "Phrase queries need positions: information retrieval isn’t retrieval information.",
+)
 
 
 @F.pandas_udf(StringType())
@@ -40,15 +51,8 @@ def upsert(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def sample_documents(spark: SparkSession) -> DataFrame:
-    """A small collection to try things on."""
-    texts = (
-        "Information retrieval finds documents that satisfy an information need.",
-        "A search engine is a well-known software system that answers web queries.",
-        "Stemming reduces inflected words to their stem; lemmatization maps them to a dictionary form.",
-        "Cold-chain storage keeps vaccines stable; the long-term follow-up found no loss (p < 0.05).",
-        "The boolean operators AND, OR and NOT combine posting lists.",
-    )
-    return spark.createDataFrame([(f"sample{i}.txt", t, i) for i, t in enumerate(texts)], FORM)
+    """A small collection of eight documents to try things on: hyphens, curly quotes, percentages, signs and operators in prose."""
+    return spark.createDataFrame([(f"sample{i}.txt", t, i) for i, t in enumerate(SAMPLE)], FORM)
 
 
 def clear(docs: DataFrame) -> DataFrame:

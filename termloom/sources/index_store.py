@@ -16,14 +16,28 @@ def load_index(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def export_json(postings: DataFrame, path: str) -> None:
-    """One JSON object a line: a term and its postings, document to tf; or, where there is no tf, the sorted documents."""
+def export_json(postings: DataFrame, path: str, whole: bool = False) -> None:
+    """One JSON object a line: a term and its postings, document to tf; or, where there is no tf, the sorted documents.
+
+    ``whole`` writes a single object of all terms instead, as one file: lines are
+    sorted and written by one task, one term at a time, so that none is gathered. For
+    exchange with programs that read an index in one piece.
+    """
     doc = F.col("doc_id").cast("string")
     if "tf" in postings.columns:
         value = F.map_from_entries(F.sort_array(F.collect_list(F.struct(doc, "tf"))))
     else:
         value = F.sort_array(F.collect_set(doc))
     lines = postings.groupBy("term").agg(value.alias("postings")).orderBy("term")
+    if whole:
+        key = F.expr("substring(to_json(named_struct('t', term)), 6, length(to_json(named_struct('t', term))) - 6)")
+        entries = lines.select("term", F.concat(F.lit(","), key, F.lit(":"), F.to_json("postings")).alias("value"))
+        ends = postings.sparkSession.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, term string, value string")
+        # the first entry has no comma before it
+        first = postings.agg(F.min("term")).scalar()
+        entries = entries.select(F.lit(1).alias("part"), "term", F.when(F.col("term") == first, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value"))
+        ends.unionByName(entries).repartition(1).sortWithinPartitions("part", "term").select("value").write.mode("overwrite").text(path)
+        return
     lines.select(F.to_json(F.struct("term", "postings")).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -35,6 +35,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("term is not null").join(latest, ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf")
 
 
+def start_windows(events: DataFrame, time: str, value: str, path: str, width: str = "1 hour", late: str = "2 hours", **trigger) -> StreamingQuery:
+    """Start counting the values of a streaming frame in windows of event time into ``path``; each batch writes the windows it changed, as they are then."""
+    counts = windowed_term_counts(events, time, value, width, late)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/windows/batch={n}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """start, end, value and n of every window, as its latest batch left it."""
+    rows = spark.read.parquet(f"{path}/windows")
+    value = next(c for c in rows.columns if c not in ("start", "end", "n", "batch"))
+    return rows.groupBy("start", "end", value).agg(F.max_by("n", "batch").alias("n"))
+
+
 def windowed_term_counts(events: DataFrame, time: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Occurrences of each value in windows of event time; what is later than ``late`` is left out. For streams and tables alike."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), value).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", value, "n")

@@ -1,6 +1,4 @@
-"""Queries of the catalogue over small tables: whole results, beside what their SQL covers."""
-
-import re
+"""Queries of the catalogue over small tables: whole results, beside their SQL."""
 
 import duckdb
 import pytest
@@ -37,4 +35,4 @@ def test_every_term(spark, directory, name, f):
     assert got == sorted([(t, f(t)) for t in terms], key=repr)
     con = duckdb.connect()
     con.execute(f"create view documents as from read_parquet('{directory}/documents.parquet/*.parquet')")
-    assert sorted(con.execute(oracle.oracle_sql()[name]).fetchall(), key=repr) == [r for r in got if re.fullmatch("[a-z]+", r[0])]
+    assert sorted(con.execute(oracle.oracle_sql()[name]).fetchall(), key=repr) == got

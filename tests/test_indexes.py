@@ -217,3 +217,24 @@ def test_cosine_and_comparison(spark, docs):
     out = {r.Query: r for r in compare.compare_stem_vs_lemma(docs, asked).collect()}
     assert out["inflecting words"]["Stem matches"] == 2 and out["zzz"].Better == "Tie"
     assert [r.Better for r in compare.compare_stem_vs_lemma(docs.where("false"), asked).collect()] == ["Tie"] * 3
+
+
+def test_account_of_a_phrase(spark, docs):
+    bw, ps = index.build_biword_index(docs), index.build_positions(docs)
+    got = {(r.kind, r["item"]): (r.n_docs, r.missing) for r in phrase.account("information retrieval zebra", bw, ps).collect()}
+    assert got == {("biword", "information retrieval"): (1, False), ("biword", "retrieval zebra"): (0, True), ("term", "information"): (1, False), ("term", "retrieval"): (1, False), ("term", "zebra"): (0, True)}
+    assert values(phrase.postings("information retrieval", bw, ps)) == [("biword", "information retrieval", "doc1"), ("term", "information", "doc1"), ("term", "retrieval", "doc1")]
+    assert phrase.account("", bw, ps).count() == 0
+    answer, ms = phrase.timed(phrase.query_biword("information retrieval", bw))
+    assert values(answer) == ["doc1"] and ms > 0
+
+
+def test_account_of_a_corrected_query(spark, docs):
+    from termloom.operators.collection import Collection
+
+    c = Collection(docs)
+    found = c.tolerant("infomation")
+    assert found.path == "corrected" and values(found.suggestions, "term")[0] == "information" and found.soundex.columns == found.metaphone.columns == ["code", "term"]
+    exact = c.tolerant("information")
+    assert exact.path == "exact" and exact.suggestions is None
+    c.clear()

@@ -25,7 +25,7 @@ def test_upsert_and_clear(spark):
     docs = documents.sample_documents(spark)
     new = spark.createDataFrame([("sample0.txt", "other", 9), ("more", "x", 10)], documents.FORM)
     got = {r.doc_id: r.text for r in documents.upsert(docs, new).collect()}
-    assert got["sample0.txt"] == "other" and len(got) == 6
+    assert got["sample0.txt"] == "other" and len(got) == 9
     assert documents.clear(docs).count() == 0
 
 
@@ -41,6 +41,35 @@ def test_index_round_trips(spark, tmp_path):
     assert values(index_store.import_json(spark, str(tmp_path / "whole.json"), whole=True)) == [("a", "d1", 2), ("b", "d1", None), ("b", "d2", None)]
 
 
+def test_index_as_one_object(spark, tmp_path):
+    rows = [('a"b', "d1", 2), ('a"b', "d2", 1), ("zoë", "d1", 1), ("b\\n", "d3", 4), ("", "d1", 1)]
+    postings = spark.createDataFrame(rows, "term string, doc_id string, tf long").repartition(3)
+    index_store.export_json(postings, str(tmp_path / "o"), whole=True)
+    (part,) = (tmp_path / "o").glob("part-*.txt")
+    assert json.loads(part.read_text()) == {'a"b': {"d1": 2, "d2": 1}, "zoë": {"d1": 1}, "b\\n": {"d3": 4}, "": {"d1": 1}}
+    assert values(index_store.import_json(spark, str(tmp_path / "o"), whole=True)) == sorted(rows, key=repr)
+    index_store.export_json(postings.drop("tf"), str(tmp_path / "l"), whole=True)
+    (part,) = (tmp_path / "l").glob("part-*.txt")
+    assert json.loads(part.read_text())['a"b'] == ["d1", "d2"]
+    index_store.export_json(postings.where("false"), str(tmp_path / "e"), whole=True)
+    (part,) = (tmp_path / "e").glob("part-*.txt")
+    assert json.loads(part.read_text()) == {}
+
+
+def test_streamed_windows(spark, tmp_path):
+    import datetime as dt
+
+    source, at = str(tmp_path / "in"), lambda h, m: dt.datetime(2024, 5, 1, h, m)
+    run = lambda rows: (
+        spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(source),
+        stream.start_windows(spark.readStream.schema("ts timestamp, kind string").parquet(source), "ts", "kind", str(tmp_path / "out")).awaitTermination(),
+    )
+    run([(at(1, 5), "a"), (at(1, 50), "a"), (at(2, 0), "b"), (None, "c")])
+    run([(at(1, 10), "a"), (at(9, 0), None)])  # late, but within the two hours
+    got = {(r.start.hour, r.kind): r.n for r in stream.read_windows(spark, str(tmp_path / "out")).collect()}
+    assert got == {(1, "a"): 3, (2, "b"): 1, (9, None): 1}
+
+
 def test_streamed_postings(spark, tmp_path):
     source = str(tmp_path / "in")
     run = lambda rows: (
@@ -59,6 +88,7 @@ def test_scratch_is_shared_and_cleaned(spark):
 
     assert shared_dir(spark).startswith("file:")
     assert values(stored(spark.range(3), "x")) == [0, 1, 2]
+    assert spark.sparkContext.applicationId in stored(spark.range(3), "y").inputFiles()[0]
     folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + "/termloom"
     assert os.path.isdir(folder)
     clean_scratch(spark)

@@ -12,7 +12,7 @@ from termloom.functions.phonetic import metaphone_of, soundex, soundex_of
 from termloom.functions.similarity import common_subsequence, indel_ratio, ratio_of
 from termloom.functions.stemming import porter, snowball
 from termloom.operators import lemmas
-from termloom.operators.preprocess import PreprocessConfig, preprocess, timed_preprocess
+from termloom.operators.preprocess import PreprocessConfig, final_tokens, preprocess, timed_preprocess
 
 
 def one(spark, text, f):
@@ -96,7 +96,7 @@ def test_timing(spark):
     assert ms > 0 and out.first().final_tokens == ["cat"]
 
 
-def test_lemmas(spark):
+def test_lemmas_by_rule(spark):
     tokens = spark.createDataFrame([(t,) for t in ("engines", "engine", "geese", "ran", "running", "run", "glass", "was", None, "engines")], "token string")
     assert dict(values(lemmas.lemma_table(tokens, "n"))) == {"engines": "engine", "geese": "goose"}
     assert dict(values(lemmas.lemma_or_verb(tokens))) == {"engines": "engine", "geese": "goose", "ran": "run", "running": "run", "was": "be"}
@@ -104,3 +104,40 @@ def test_lemmas(spark):
     out = preprocess(docs, PreprocessConfig(do_lemma=True, do_stem=True)).orderBy("doc_id").collect()
     assert [r.final_tokens for r in out] == [["engin", "engin", "goos"], ["engin", "engin", "goos"], []]
     assert out[0].lemma_map == {"engines": "engine", "geese": "goose"} and out[0].stem_map == {"engine": "engin", "goose": "goos"}
+    want = dict(p.split(":") for p in """studies:study boxes:box matches:match heroes:hero classes:class houses:house queries:query bus:bus basis:basis making:make using:use reading:read
+        compared:compare reduced:reduce changed:change stopped:stop visited:visit treated:treat creating:create eating:eat string:string need:need judged:judge required:require
+        described:describe provided:provide increased:increase telling:tell passing:pass classified:classify indexing:index computed:compute contained:contain focused:focus""".split())
+    found = spark.createDataFrame([(w,) for w in want], "w string").select("w", lemmas.lemma_of(F.col("w")).alias("l"))
+    assert dict(values(found)) == want
+
+
+def test_a_document_keeps_its_lemmas_whatever_is_beside_it(spark):
+    cfg = PreprocessConfig(do_lemma=True)
+    one = spark.createDataFrame([(1, "wolves hosted markings")], "doc_id long, text string")
+    many = one.union(spark.createDataFrame([(2, "wolve host marking mark wolf hoste")], one.schema))
+    assert final_tokens(one, cfg).first() == final_tokens(many, cfg).where("doc_id = 1").first()
+
+
+def test_lemmas_of_a_lexicon(spark, tmp_path):
+    """The public database's files: index lines after a licence that begins with blanks, and exceptions."""
+    (tmp_path / "wn").mkdir()
+    for name, words, exceptions in (("noun", "better building goose mouse wolf", "geese goose\nmice mouse\nwolves wolf\n"), ("verb", "build run house", "ran run\nrunning run\n"), ("adj", "good", "better good well\n")):
+        (tmp_path / "wn" / f"index.{name}").write_text("  1 This is a licence\n" + "".join(f"{w} {name[0]} 1 0 1 1 00000001\n" for w in words.split()))
+        (tmp_path / "wn" / f"{name}.exc").write_text(exceptions)
+    lexicon = lemmas.read_lexicon(spark, f"file://{tmp_path}/wn")
+    tokens = spark.createDataFrame([(t,) for t in "geese mice wolves buildings building built running ran houses better qwerties".split()] + [(None,)], "token string")
+    assert dict(values(lemmas.lemma_table(tokens, "n", lexicon))) == {"geese": "goose", "mice": "mouse", "wolves": "wolf", "buildings": "building"}
+    assert dict(values(lemmas.lemma_or_verb(tokens, lexicon))) == {"geese": "goose", "mice": "mouse", "wolves": "wolf", "buildings": "building", "building": "build", "running": "run", "ran": "run", "houses": "house"}
+    assert dict(values(lemmas.lemma_table(tokens, "a", lexicon))) == {"better": "good"}
+    docs = spark.createDataFrame([(1, "geese ran"), (1, "geese ran"), (None, "wolves wolves"), (3, None)], "doc_id long, text string")
+    got = sorted(map(str, (r.final_tokens for r in preprocess(docs, PreprocessConfig(do_lemma=True), lexicon).collect())))
+    assert got == ["['goose', 'run']", "['goose', 'run']", "['wolf', 'wolf']", "[]"]
+    (tmp_path / "words.txt").write_text("Goose\n\nhouse\n")
+    assert dict(values(lemmas.lemma_table(tokens, "n", lemmas.read_lexicon(spark, f"file://{tmp_path}/words.txt")))) == {"houses": "house"}
+
+
+def test_abbreviations_end_no_sentence(spark):
+    assert one(spark, "Dr. Smith met Prof. Lee et al. See Fig. 3. Then e.g. A left.", T.treebank_tokenize) == [
+        "Dr.", "Smith", "met", "Prof.", "Lee", "et", "al.", "See", "Fig.", "3.", "Then", "e.g.", "A", "left", "."
+    ]
+    assert one(spark, "It was so. He left.", T.treebank_tokenize) == ["It", "was", "so", ".", "He", "left", "."]
