@@ -9,9 +9,9 @@ within a run of letters are replaced.
 
 What counts as a disguise: full-width and other compatibility forms of letters,
 digits, signs and hyphens (not superscripts, fractions, ellipses or the like); a
-letter with a combining mark where one character exists; invisible characters
-(joiners within emoji excepted); blanks other than space, tab and line ends;
-look-alike letters. Greek letters as symbols, typographic quotes and dashes and
+letter with a combining mark where one character exists; invisible characters (all
+default-ignorable ones; joiners within emoji excepted); blanks other than space, tab
+and line ends, among them vertical tab and form feed; look-alike letters. Greek letters as symbols, typographic quotes and dashes and
 words wholly in their own script are left alone.
 
 Defined cases: null stays null and is no case; empty text is unchanged; repeated
@@ -51,12 +51,22 @@ LOOK_ALIKES = {
     # special letters of the Latin script
     "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ꞌ": "'", "ʋ": "u", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ʏ": "y", "ɪ": "i", "ʟ": "l", "ɴ": "n", "ʀ": "r", "ꞓ": "c",
 }
+#: By rule: small capitals of the Latin script, each for its letter, as far as the table above has none.
+LOOK_ALIKES |= {
+    c: base
+    for c in map(chr, (*range(0x250, 0x2B0), *range(0x1D00, 0x1D2C), *range(0xA730, 0xA7F8)))
+    if (name := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(base := name.rpartition(" ")[2].lower()) == 1 and name.count(" ") == 4 and c not in LOOK_ALIKES
+}
 #: Special letters that are Latin by name but are disguises of a plain one.
 _SPECIAL = {c for c in LOOK_ALIKES if unicodedata.name(c, "").startswith("LATIN")}
 #: From plain Latin letters to the Cyrillic ones that look alike, for words otherwise Cyrillic; in Russian use.
 _TO_CYRILLIC = {LOOK_ALIKES[c]: c for c in "аеорсухАВСЕНКМОРТХУёЁі"}
 #: Compatibility forms that stand for letters, digits, signs or hyphens, by the tag of their decomposition.
 _TAGS = {"<wide>", "<narrow>", "<font>", "<circle>", "<square>", "<small>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>"}
+#: Ranges of the property Default_Ignorable_Code_Point, and characters that show nothing though they are letters or signs.
+_IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x2800, 0x2800), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+#: Blanks that are neither of the category of blanks nor ordinary.
+_BLANKS = "\x0b\x0c\x85\u2028\u2029"
 _JOINERS = {"‍", "️", "︎"}
 
 
@@ -77,14 +87,14 @@ def _plain_form(ch: str) -> str | None:
 @lru_cache(1)
 def _unstable() -> tuple[dict[str, str], re.Pattern, re.Pattern]:
     """By rule from the character database: compatibility forms; a class of all characters that can change; one of blanks and invisible ones."""
-    forms, unstable, hidden = {}, [], []
+    forms, unstable, hidden = {}, [], [0x0B, 0x0C]
     for o in range(0x80, sys.maxunicode + 1):
         ch = chr(o)
         kind = unicodedata.category(ch)
+        if kind in ("Zs", "Cf") or ch in _JOINERS or ch in _BLANKS or any(a <= o <= b for a, b in _IGNORABLE):
+            hidden.append(o)
         if kind in ("Cn", "Co", "Cs"):
             continue
-        if kind in ("Zs", "Cf") or ch in _JOINERS:
-            hidden.append(o)
         if (form := _plain_form(ch)) is not None:
             forms[ch] = form
         if ch in forms or unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch) or 0x1160 <= o <= 0x11FF:
@@ -163,11 +173,11 @@ class Canon:
 
     def __call__(self, text: str) -> tuple[str, list[str]]:
         """The canonical text, and the kinds of disguise found: form, mark, hidden, blank, letter."""
-        if text.isascii():
+        if text.isascii() and "\x0b" not in text and "\x0c" not in text:
             return text, []
         bits = 0
         for ch in set(text):
-            if ch > "\x7f":
+            if ch > "\x7f" or ch in _BLANKS:
                 bits |= self.check(ch)
         if not bits:
             return text, []
@@ -176,9 +186,9 @@ class Canon:
 
         def visible(m: re.Match) -> str:
             ch, at = m.group(), m.start()
-            if unicodedata.category(ch) == "Zs":
+            if unicodedata.category(ch) == "Zs" or ch in _BLANKS:
                 kinds["blank"] = None
-                return " "
+                return " " if ch not in "\x85\u2028\u2029" else "\n"
             if ch in _JOINERS and at and unicodedata.category(text[at - 1]) in ("So", "Sk"):
                 return ch  # part of an emoji
             kinds["hidden"] = None
@@ -221,6 +231,8 @@ class Canon:
         return out, list(kinds)
 
 
+#: What a text without any disguise lacks: characters beyond ASCII, vertical tabs and form feeds.
+_SOME = r"[^\x00-\x7f]|[\x0b\x0c]"
 _FORM = "{0}, {1} string, canonical string, kinds array<string>, changed boolean"
 
 
@@ -253,8 +265,8 @@ def disguised(documents: DataFrame, inverted: DataFrame, model: encoding.Model |
             hit = [t is not None and bool(canon(t)[1]) and not judge.text(t).garbled for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], ["rec_id"])
 
-    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("rec_id"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))).mapInArrow(run, "rec_id bigint")
-    terms = canonical(inverted.select("entry_id", "term").where(F.col("term").rlike(r"[^\x00-\x7f]")), "entry_id", "term").where("changed")
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("rec_id"), "text").where(F.col("text").rlike(_SOME))).mapInArrow(run, "rec_id bigint")
+    terms = canonical(inverted.select("entry_id", "term").where(F.col("term").rlike(_SOME)), "entry_id", "term").where("changed")
     return (
         texts.select(F.lit("documents").alias("place"), "rec_id")
         .union(terms.select(F.lit("inverted_index").alias("place"), F.col("entry_id").cast("bigint").alias("rec_id")))

@@ -62,3 +62,27 @@ def test_tables(spark):
     found = canonical.disguised(docs, terms)
     assert set(values(found)) >= {("documents", 1), ("documents", 4), ("inverted_index", 7)} and found.count() == found.distinct().count()
     assert canonical.disguised(docs.where("false"), terms.where("false")).count() == 0
+
+
+def test_invisible_characters_and_rare_blanks():
+    canon = canonical.Canon()
+    for hidden in "\u034f\u115f\u3164\u2800\u180b\u180e\ufe03\u200b\u2060\ufeff\u00ad\U000e0041\uffa0":
+        assert canon(f"in{hidden}dex") == ("index", ["hidden"]), hex(ord(hidden))
+    for blank in "\x0b\x0c\u1680\u2009\u202f\u3000\u00a0":
+        assert canon(f"a{blank}b") == ("a b", ["blank"]), hex(ord(blank))
+    for end in "\x85\u2028\u2029":
+        assert canon(f"a{end}b") == ("a\nb", ["blank"])
+    assert canon("a\tb\r\nc") == ("a\tb\r\nc", [])
+    assert canon("ok 👩\u200d💻 ❤\ufe0f")[1] == []
+
+
+def test_small_capitals_are_look_alikes():
+    canon = canonical.Canon()
+    for word, plain in (("sᴛem", "stem"), ("inᴅex", "index"), ("ᴋey", "key"), ("terᴍ", "term"), ("qᴜery", "query"), ("ᴀnd", "and")):
+        assert canon(word) == (plain, ["letter"]), word
+
+
+def test_form_feed_in_plain_text_is_found(spark):
+    docs = spark.createDataFrame([(1, "page\x0cbreak"), (2, "plain"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(7, "a\x0bb"), (8, "ab")], "entry_id long, term string")
+    assert values(canonical.disguised(docs, terms)) == [("documents", 1), ("inverted_index", 7)]
