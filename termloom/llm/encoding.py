@@ -112,6 +112,13 @@ _HIGH = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"[^ \t\r\n\x0b\x0c]*[^\x00-\x7f][^ \t\r\n\x0b\x0c]*")
 
 
+def high_words(text: str) -> list[str]:
+    """What WORD finds, in order: stretches without ordinary blanks that aren't all ASCII."""
+    for blank in "\t\r\n\x0b\x0c":
+        text = text.replace(blank, " ")
+    return [w for w in text.split(" ") if not w.isascii()]
+
+
 @lru_cache(None)
 def _misreading(read: str) -> np.ndarray:
     """The code point that each byte is read as."""
@@ -393,7 +400,7 @@ class Judge:
 
     def once(self, text: str) -> tuple[str | None, str, bool]:
         """One round: the chain of most votes, if they suffice, the text without it, and whether all words it may have met are undone."""
-        words = Counter(m.group() for m in WORD.finditer(text))
+        words = dict.fromkeys(high_words(text))
         votes: Counter[int] = Counter()
         best: Counter[int] = Counter()
         for w in words:
@@ -444,7 +451,7 @@ class Judge:
                 break
             seen.add(mended)
             text = mended
-        complete = not lost and whole and (not chains or not _LOST.search(text) and not _CUT.search(text) and not any(map(self.doubtful, set(WORD.findall(text)))))
+        complete = not lost and whole and (not chains or not _LOST.search(text) and not _CUT.search(text) and not any(map(self.doubtful, set(high_words(text)))))
         return Verdict(bool(chains) or lost, "+".join(chains) or ("lost" if lost else None), text, complete)
 
 

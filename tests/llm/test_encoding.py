@@ -122,6 +122,11 @@ def test_a_weaker_vote_that_suffices_counts(model):
     assert judge.text(" ".join(sorted(set(weak))[:200] + [encoding.garble("für", (("utf-8", "cp1252"),))])).garbled
 
 
+def test_high_words_are_the_pattern_s():
+    for t in ["", "plain", "é", " é\tü\r\nab\x0bß\x0c«x» a\xa0b \u2028 c", *texts(30, 9)]:
+        assert encoding.high_words(t) == encoding.WORD.findall(t)
+
+
 def test_training_is_kept():
     words = {"Größe": 3, "für": 2}
     assert encoding.fit_words(words) is encoding.fit_words(dict(reversed(words.items())))
