@@ -166,3 +166,13 @@ def test_long_texts_and_blocks():
     assert len(h) == 29_998
     whole = (neardup._scramble(h[:, None] * neardup._FACTORS + neardup._TERMS).min(0) >> neardup.np.uint64(32)).astype("uint32").view("int32")
     assert (neardup.signature(h) == whole).all()
+
+
+def test_texts_hashed_together_are_as_alone(monkeypatch):
+    texts = ["a b c d", None, "", "a b", "x y z", "b c d e f b c d", "é ü ö", "a b c d"]
+    alone = [neardup.runs(t, {}).tolist() for t in texts]
+    assert [len(a) for a in alone] == [2, 0, 0, 0, 1, 5, 1, 2] and alone[0] == alone[-1]
+    for go, kept in ((1, 10**6), (5, 2), (10**6, 0)):
+        monkeypatch.setattr(neardup, "GO", go)
+        monkeypatch.setattr(neardup, "KEPT", kept)
+        assert [h.tolist() for h in neardup.all_runs(texts, {})] == alone
