@@ -176,3 +176,29 @@ def test_texts_hashed_together_are_as_alone(monkeypatch):
         monkeypatch.setattr(neardup, "GO", go)
         monkeypatch.setattr(neardup, "KEPT", kept)
         assert [h.tolist() for h in neardup.all_runs(texts, {})] == alone
+
+
+def test_a_task_sends_few_rows_of_a_key(spark):
+    same = [(i, 5, [7] * neardup.COMPONENTS) for i in range(3000)]
+    other = [(5000 + i, 5, list(range(i * 100, i * 100 + neardup.COMPONENTS))) for i in range(300)]
+    reps = spark.createDataFrame(same + other, "id long, n int, sig array<int>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        whole, few = values(neardup._keyed(reps)), values(neardup._keyed(reps, 20))
+        pairs = neardup.key_pairs(reps, bucket=19).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n_keys = len({k for _, _, k in whole})
+    assert len(whole) == 3300 * 36 and n_keys == 36 + 300 * 36 and {k for *_, k in few} == {k for *_, k in whole}
+    assert sum(i < 3000 for i, *_ in few) == 36 * 20 and sum(i >= 5000 for i, *_ in few) == 300 * 36
+    assert len(pairs) == 36 and all(p.b is None for p in pairs)
+
+
+def test_keys_are_shared_where_a_chunk_differs_in_one():
+    import numpy as np
+
+    a = np.random.default_rng(3).integers(-(1 << 31), 1 << 31, neardup.COMPONENTS).astype(np.int32)
+    b = a + 1
+    b[4:6] = a[4:6]  # the second chunk differs in its first component alone
+    x, y = neardup.chunk_keys(np.stack([a, b]))
+    assert len(set(x.tolist()) & set(y.tolist())) == 1 and len(set(x.tolist())) == neardup.CHUNKS * neardup.WIDTH
