@@ -63,6 +63,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p6_multi_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by the vocabulary for many languages."""
+    return tokens.encoded(table(spark, d, "documents"), "byte_bpe_multi_50k")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents larger than a container."""
     return packing.split_documents(table(spark, d, "documents"))
@@ -93,7 +98,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_groups, p4_found, p4_documents, p4_terms, p5_found, p5_counts, p6_ids, p7_found, p7_packed, p7_containers, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_groups, p4_found, p4_documents, p4_terms, p5_found, p5_counts, p6_ids, p6_multi_ids, p7_found, p7_packed, p7_containers, p8_found, p8_composition)}
 
 
 _PAIRS = r"""

@@ -122,8 +122,8 @@ class PairIndex:
 class Encoder:
     """Encodes batches of texts; keeps the ids of pre-tokens between batches."""
 
-    def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
-        self.index = PairIndex(ranks(name, folder))
+    def __init__(self, vocabulary: str | dict[bytes, int] = "byte_bpe_50k", folder: str = TOKENIZERS):
+        self.index = PairIndex(ranks(vocabulary, folder) if isinstance(vocabulary, str) else vocabulary)
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -146,10 +146,11 @@ class Encoder:
 
 
 def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """doc_id and ``ids``, the token ids of each document's whole text."""
+    """doc_id and ``ids``, the token ids of each document's whole text. Only the driver reads the vocabulary, a file of fixed size, and broadcasts it."""
+    shared = documents.sparkSession.sparkContext.broadcast(ranks(tokenizer, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, folder)
+        encoder = Encoder(shared.value)
         for batch in batches:
             values, ends = [], [0]
             for words in encoder.batch(batch.column(1).to_pylist()):
@@ -163,9 +164,10 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
 
 def sized(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id and ``n_tokens``, the number of tokens of each document's whole text; the ids themselves stay in the worker."""
+    shared = documents.sparkSession.sparkContext.broadcast(ranks(tokenizer, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, folder)
+        encoder = Encoder(shared.value)
         for batch in batches:
             sizes = [sum(map(len, words)) for words in encoder.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])

@@ -111,3 +111,14 @@ def test_packed(spark):
     assert len(fill) <= 1.12 * least + 2
     assert packing.packed(df.where("false")).count() == 0
     assert packing.packed(df.where("doc_id = 900")).count() == 1
+
+
+def test_folder_of_the_vocabularies_is_a_parameter(spark, tmp_path):
+    """Workers need no folder: the driver reads the file and sends it."""
+    import shutil
+
+    shutil.copy(f"{tokens.TOKENIZERS}/byte_bpe_multi_50k.tiktoken", tmp_path / "own.tiktoken")
+    df = spark.createDataFrame([(1, "Größe und Maß, размер 12"), (2, None)], "doc_id long, text string")
+    made = tokens.encoded(df, "own", str(tmp_path))
+    (tmp_path / "own.tiktoken").unlink()
+    assert {r.doc_id: r.ids for r in made.collect()} == {1: library("byte_bpe_multi_50k")("Größe und Maß, размер 12"), 2: []}
