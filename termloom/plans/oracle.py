@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from ..functions import stemming as S
 from ..functions import text as T
 from ..operators import lemmas
 from ..operators.phrase import NOTES
@@ -199,6 +200,95 @@ def _lemma(word: str) -> str:
     return f"(case when {_rules('n', word)} <> {word} then {_rules('n', word)} else {_rules('v', word)} end)"
 
 
+def _shape(word: str) -> str:
+    """c for each consonant, v for each vowel; y is a vowel after a consonant."""
+    return f"list_reduce(list_prepend('', list_filter(string_split({word}, ''), lambda x: x <> '')), lambda a, ch: a || case when ch in ('a', 'e', 'i', 'o', 'u') or (ch = 'y' and right(a, 1) = 'c') then 'v' else 'c' end)"
+
+
+def _porter(source: str) -> str:
+    """CTEs up to stems(term, stem): the extended Porter stems of the terms of a relation, one step after another."""
+    cut = lambda n: f"left(w, length(w) - {n})"
+    ends = lambda s, x="w": f"{x} like '%{s}'"
+    m = "((length(s) - length(replace(s, 'vc', ''))) // 2)"
+    cvc = "(case when length(s) = 2 then s = 'vc' else right(s, 3) = 'cvc' and right(stem, 1) not in ('w', 'x', 'y') end)"
+
+    def step(n: int, suffixes: list[str], now: str) -> str:
+        """One step: which suffix the word has, the stem before it and its shape, and the word after the step."""
+        which = "".join(f" when {ends(x)} then '{x}'" for x in suffixes)
+        return f""", q{n} as (select term, w, case{which} else '' end as suf from p{n - 1}),
+            r{n} as (select *, left(w, length(w) - length(suf)) as stem from q{n}), t{n} as (select *, {_shape("stem")} as s from r{n}),
+            p{n} as (select term, {now} as w from t{n})"""
+
+    def table(rules) -> str:
+        return "case" + "".join(f" when suf = '{a}' and {m} > 0 then stem || '{b}'" for a, b in rules) + " else w end"
+
+    by_length = lambda rules, key=lambda r: r: sorted(rules, key=lambda r: -len(key(r)))
+    step2 = by_length(S._STEP2, lambda r: r[0])
+    past = f"""case when suf = 'ied' then {cut("if(length(w) = 4, 1, 2)")} when suf = 'eed' then if({m} > 0, {cut(1)}, w)
+        when suf in ('ed', 'ing') and contains(s, 'v') then case when {ends("at", "stem")} or {ends("bl", "stem")} or {ends("iz", "stem")} then stem || 'e'
+            when length(stem) > 1 and right(stem, 1) = left(right(stem, 2), 1) and right(s, 1) = 'c' then if(right(stem, 1) in ('l', 's', 'z'), stem, left(stem, length(stem) - 1))
+            when {m} = 1 and {cvc} then stem || 'e' else stem end else w end"""
+    fixed = "".join(f" when lower(term) = '{a}' then '{b}'" for a, b in S._PORTER_FORMS.items())
+    return (
+        f""", p0 as (select term, case when {ends("ies")} and length(w) = 4 then {cut(1)} when {ends("sses")} or {ends("ies")} then {cut(2)}
+            when {ends("s")} and not {ends("ss")} then {cut(1)} else w end as w from (select distinct term, lower(term) as w from {source}))"""
+        + step(1, ["ied", "eed", "ed", "ing"], past)
+        + step(2, ["y"], "if(suf = 'y' and length(w) > 2 and right(s, 1) = 'c', stem || 'i', w)")
+        + step(3, ["alli", "logi"], f"case when suf = 'alli' and {m} > 0 then {cut(2)} else w end")
+        # of -logi the measure is taken with the l
+        + step(4, ["ogi"], f"if(suf = 'ogi' and {ends('l', 'stem')} and {m} > 0, {cut(1)}, w)")
+        + step(5, [a for a, _ in step2], table(step2))
+        + step(6, [a for a, _ in S._STEP3], table(S._STEP3))
+        + step(7, by_length(S._STEP4), f"if(suf <> '' and {m} > 1 and (suf <> 'ion' or right(stem, 1) in ('s', 't')), stem, w)")
+        + step(8, ["e"], f"if(suf = 'e' and ({m} > 1 or {m} = 1 and not {cvc}), stem, w)")
+        + step(9, ["l"], f"if({ends('ll')} and {m} > 1, stem, w)")
+        + f", stems as (select term, case{fixed} when length(term) <= 2 then lower(term) else w end as stem from p9)"
+    )
+
+
+def _snowball(source: str) -> str:
+    """CTEs up to stems(term, stem): the stems of the second algorithm, with its regions r1 and r2."""
+    ends = lambda s, x="w": f"suffix({x}, '{s.replace(chr(39), chr(39) * 2)}')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    vowel, after = "[aeiouy]", "'^.*?[aeiouy][^aeiouy]'"
+    region = lambda x: f"case when regexp_matches({x}, {after}) then length(regexp_extract({x}, {after})) else length({x}) end"
+    short = lambda x: f"(case when length({x}) = 2 then regexp_matches({x}, '^[aeiouy][^aeiouy]$') else regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$') end)"
+
+    def step(n: int, suffixes: list[str], now: str) -> str:
+        which = "case when false then ''" + "".join(f" when {ends(x)} then {_quoted(x)}" for x in suffixes)
+        return f""", q{n} as (select *, {which} else '' end as suf from p{n - 1}), s{n} as (select *, left(w, length(w) - length(suf)) as stem from q{n}),
+            p{n} as (select term, r1, r2, alone, {now} as w from s{n})"""
+
+    def table(rules, start, extra) -> str:
+        return "case" + "".join(f" when suf = '{a}' and length(stem) >= {start(a)}{extra.get(a, '')} then stem || '{b}'" for a, b in rules) + " else w end"
+
+    doubles = ", ".join(f"'{c}{c}'" for c in "bdfgmnprt")
+    past = f"""case when suf in ('eed', 'eedly') then if(length(stem) >= r1, stem || 'ee', w) when suf <> '' and regexp_matches(stem, '{vowel}') then
+        case when {ends("at", "stem")} or {ends("bl", "stem")} or {ends("iz", "stem")} then stem || 'e' when right(stem, 2) in ({doubles}) then left(stem, length(stem) - 1)
+             when {short("stem")} and r1 >= length(stem) then stem || 'e' else stem end else w end"""
+    plural = f"""case when {ends("sses")} then {cut(2)} when {ends("ied")} or {ends("ies")} then if(length(w) > 4, {cut(2)}, {cut(1)}) when {ends("us")} or {ends("ss")} then w
+        when {ends("s")} and regexp_matches({cut(2)}, '{vowel}') then {cut(1)} else w end"""
+    fixed = "".join(f" when low = '{a}' then '{b}'" for a, b in S._WHOLE.items())
+    no = lambda step: f"if(alone, w, {step})"
+    return (
+        f""", small as (select distinct term, translate(lower(term), '’‘‛', repeat(chr(39), 3)) as low from {source}),
+        bare as (select term, if(starts_with(low, chr(39)), substring(low, 2), low) as b from small),
+        marked as (select term, array_to_string(list_transform(range(1, length(b) + 1), lambda i: case when substring(b, i::int, 1) = 'y' and (i = 1 or regexp_matches(substring(b, i::int - 1, 1), '{vowel}')) then 'Y' else substring(b, i::int, 1) end), '') as w from bare),
+        first as (select term, w, case when starts_with(w, 'gener') or starts_with(w, 'arsen') then 5 when starts_with(w, 'commun') then 6 else {region("w")} end as r1 from marked),
+        p0 as (select term, w, r1, r1 + {region("substring(w, r1::int + 1)")} as r2, false as alone from first)"""
+        + step(1, ["'s'", "'s", "'"], "stem")
+        + step(2, [], plural)
+        + ", pa as (select * replace (w in (" + ", ".join(map(_quoted, sorted(S._ALONE))) + ") as alone) from p2)"
+        + step(3, ["eedly", "ingly", "edly", "eed", "ing", "ed"], no(past)).replace("from p2)", "from pa)")
+        + step(4, ["y", "Y"], no(f"if(suf <> '' and length(w) > 2 and not regexp_matches(right(stem, 1), '{vowel}'), stem || 'i', w)"))
+        + step(5, [a for a, _ in S._SECOND2], no(table(S._SECOND2, lambda a: "r1", {"ogi": f" and {ends('l', 'stem')}", "li": " and regexp_matches(stem, '[cdeghkmnrt]$')"})))
+        + step(6, [a for a, _ in S._SECOND3], no(table(S._SECOND3, lambda a: "r2" if a == "ative" else "r1", {})))
+        + step(7, list(S._SECOND4), no(table([(a, "") for a in S._SECOND4], lambda a: "r2", {"ion": " and regexp_matches(stem, '[st]$')"})))
+        + step(8, ["e", "l"], no(f"case when suf = 'e' and (length(stem) >= r2 or length(stem) >= r1 and not {short('stem')}) then stem when suf = 'l' and length(stem) >= r2 and {ends('l', 'stem')} then stem else w end"))
+        + f", stems as (select term, case when length(low) <= 2 then low{fixed} else replace(w, 'Y', 'y') end as stem from p8 join small using (term))"
+    )
+
+
 def _treebank(text: str) -> str:
     for pattern, put in T.TREEBANK:
         text = f"{text} || {_quoted(put)}" if pattern == "$" else f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(re.sub('[$]([0-9])', chr(92) * 2 + chr(92) + '1', put))}, 'g')"
@@ -328,6 +418,10 @@ def oracle_sql() -> dict[str, str]:
         "timed_tokens": _stage("final_tokens"),
         "lemma": f"{w} select term as token, {_lemma('term')} as lemma from vocabulary where {_lemma('term')} <> term",
         "lemma_final": f"{w}, lemmas as (select term, {_lemma('term')} as lemma from vocabulary) select doc_id, pos::int as pos, lemma as token from toks join lemmas using (term)",
+        "stem_porter": f"{w}{_porter('vocabulary')} select term, stem from stems",
+        "stem_snowball": f"{w}{_snowball('vocabulary')} select term, stem from stems",
+        "stem_map": f"{w}{_porter('vocabulary')} select distinct doc_id, term as token, stem from toks join stems using (term) where stem <> term",
+        "lemma_tokens": f"{w}, lemmas as (select term as token, {_lemma('term')} as term from vocabulary){_porter('lemmas')} select doc_id, pos::int as pos, stem as token from toks join lemmas on lemmas.token = toks.term join stems on stems.term = lemmas.term",
         "phrase_demo": """with d(doc_id, first, second) as (values ('demo_doc1', 'information systems are', 'retrieval information is'), ('demo_doc2', 'information retrieval is', ''))
             select 'documents' as kind, doc_id from d union all select unnest(['biword', 'positional']), doc_id from d where contains(first || '|' || second, 'information retrieval')
             union all select 'candidates', doc_id from d where contains(first || second, 'information') and contains(first || second, 'retrieval')
