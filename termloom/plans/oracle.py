@@ -334,6 +334,30 @@ def heavy_key_sql() -> dict[str, str]:
     }
 
 
+def _compared() -> str:
+    """Matches and average similarity of each query with stems and with lemmas."""
+    word = "'[\\p{L}\\p{N}_]{2,}'"
+
+    def similar(k: str) -> str:
+        return f""", joined_{k} as (select doc_id, lower(string_agg(form, ' ' order by pos)) as t from toks join forms_{k} using (term) group by doc_id),
+            tf_{k} as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(t, {word})) as term from joined_{k}) group by all),
+            idf_{k} as (select term, ln((1 + (select count(*) from docs)) / (1 + count(*))) + 1 as idf from tf_{k} group by term),
+            w_{k} as (select doc_id, term, tf * idf as w from tf_{k} join idf_{k} using (term)), norm_{k} as (select doc_id, sqrt(sum(w * w)) as norm from w_{k} group by doc_id),
+            text_{k} as (select query, lower(string_agg(form, ' ')) as t from asked join forms_{k} using (term) group by query),
+            wq_{k} as (select query, term, count(*) * any_value(idf) as w from (select query, unnest(regexp_extract_all(t, {word})) as term from text_{k}) join idf_{k} using (term) group by all),
+            nq_{k} as (select query, sqrt(sum(w * w)) as norm from wq_{k} group by query),
+            sim_{k} as (select q.query, d.doc_id, sum(d.w / n.norm * (q.w / m.norm)) as sim from w_{k} d join wq_{k} q using (term) join norm_{k} n on n.doc_id = d.doc_id join nq_{k} m on m.query = q.query group by all),
+            sum_{k} as (select query, count(*) filter (sim > 0) as n, round(avg(sim) filter (sim > 0), 4) as a from sim_{k} group by query)"""
+
+    return f"""{_WORDS}, queries(query) as (values {", ".join(f"({_quoted(q)})" for q in c.COSINE)}),
+        asked as (select query, unnest(list_filter(string_split(lower(query), ' '), lambda x: x not in {_list(T.STOP_WORDS)})) as term from queries),
+        every as (select term from vocabulary union select term from asked){_porter("every")},
+        forms_s as (select term, stem as form from stems), forms_l as (select term, {_lemma("term")} as form from every){similar("s")}{similar("l")}
+        select query as "Query", coalesce(s.n, 0)::bigint as "Stem matches", coalesce(l.n, 0)::bigint as "Lemma matches", coalesce(s.a, 0) as "Stem Avg. Similarity", coalesce(l.a, 0) as "Lemma Avg. Similarity",
+               case when coalesce(s.a, 0) > coalesce(l.a, 0) then 'Stemming' when coalesce(l.a, 0) > coalesce(s.a, 0) then 'Lemmatization' else 'Tie' end as "Better"
+        from queries left join sum_s s using (query) left join sum_l l using (query)"""
+
+
 _RECURSIVE = _WORDS.replace("with docs", "with recursive docs", 1)
 _ASKED = [("biword", "mean average"), ("biword", "average precision"), ("biword", "precision zzz"), ("term", "mean"), ("term", "average"), ("term", "precision"), ("term", "zzz")]
 #: The observed reading of a wildcard pads each part once more before it is cut in grams.
@@ -419,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "lemma": f"{w} select term as token, {_lemma('term')} as lemma from vocabulary where {_lemma('term')} <> term",
         "lemma_final": f"{w}, lemmas as (select term, {_lemma('term')} as lemma from vocabulary) select doc_id, pos::int as pos, lemma as token from toks join lemmas using (term)",
         "stem_porter": f"{w}{_porter('vocabulary')} select term, stem from stems",
+        "compare_stem_lemma": _compared(),
         "stem_snowball": f"{w}{_snowball('vocabulary')} select term, stem from stems",
         "stem_map": f"{w}{_porter('vocabulary')} select distinct doc_id, term as token, stem from toks join stems using (term) where stem <> term",
         "lemma_tokens": f"{w}, lemmas as (select term as token, {_lemma('term')} as term from vocabulary){_porter('lemmas')} select doc_id, pos::int as pos, stem as token from toks join lemmas on lemmas.token = toks.term join stems on stems.term = lemmas.term",
