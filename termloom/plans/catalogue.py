@@ -412,6 +412,11 @@ def soundex_codes(spark: SparkSession, d: str) -> DataFrame:
     return spelling.coded(_vocabulary(spark, d))
 
 
+def metaphone_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Metaphone code of every term."""
+    return spelling.coded(_vocabulary(spark, d), "metaphone")
+
+
 def soundex_groups(spark: SparkSession, d: str) -> DataFrame:
     """The largest groups of terms of one Soundex code."""
     return index.phonetic_index_to_dataframe(index.build_phonetic_index(_vocabulary(spark, d)))
@@ -514,6 +519,20 @@ def store_parquet(spark: SparkSession, d: str) -> DataFrame:
     return index_store.load_index(spark, path)
 
 
+def stored_boolean(spark: SparkSession, d: str) -> DataFrame:
+    """A boolean query asked of a stored index, of which only the row groups of its terms are read."""
+    path = scratch(spark, "index")
+    index_store.save_index(_postings(spark, d), path)
+    return boolean.boolean_query(BOOLEAN["bool_implicit_and"], index_store.load_index(spark, path), docs(spark, d))
+
+
+def stored_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase asked of a stored positional index."""
+    path = scratch(spark, "positions")
+    index_store.save_index(_positions(spark, d), path)
+    return phrase.query_positional(PHRASES["phrase_positional"], index_store.load_index(spark, path))
+
+
 def store_json(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index, written as JSON and read again."""
     path = scratch(spark, "json")
@@ -585,8 +604,8 @@ def queries() -> dict[str, Query]:
         biword_index, biword_table, positional_index, positional_table, phrase_candidates, phrase_false_positives, phrase_starts, phrase_compare, phrase_compare_observed, phrase_demo, phrase_account,
         dict_inorder, dict_search_rank, dict_range, dict_prefix, dict_prefix_observed, dict_bst_search, dict_update, dict_stats, dict_depths, dict_benchmark,
         kgram_index, kgram_top, wildcard_observed, wildcard_docs, edit_distances, indel_ratios, spell_suggest, spell_best, spell_table,
-        soundex_codes, soundex_groups, metaphone_groups, phonetic_index, phonetic_match_soundex, phonetic_match, cosine_rank, compare_stem_lemma, bool_setops, bool_terms_and, bool_terms_or,
-        source_upsert, source_csv, sample_preview, collection_answers, store_parquet, store_json, store_json_object, stream_postings, stream_windows,
+        soundex_codes, metaphone_codes, soundex_groups, metaphone_groups, phonetic_index, phonetic_match_soundex, phonetic_match, cosine_rank, compare_stem_lemma, bool_setops, bool_terms_and, bool_terms_or,
+        source_upsert, source_csv, sample_preview, collection_answers, store_parquet, stored_boolean, stored_phrase, store_json, store_json_object, stream_postings, stream_windows,
     )
     made = {
         "tok_simple": _stage("raw_tokens"),

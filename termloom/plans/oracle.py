@@ -180,6 +180,41 @@ codes as (select term, substring(head || array_to_string(list_filter(list_transf
 _MISSED = _quoted(c.MISSPELLED[0])
 _SAME_CODE = f"select code, term from codes where code = (select substring(upper({_MISSED}), 1, 1) || '250')"
 
+#: Metaphone, sign by sign: what each gives depends on two signs before it and three after (# where there are none). Signs that a rule before takes along give nothing either way, but for G after D and C after S.
+_METAPHONE = f""", plain_signs as (select term, regexp_replace(s, '\\p{{M}}', '', 'g') as s from signs union select {_MISSED}, upper({_MISSED})),
+begun as (select term, case when left(s, 2) in ('KN', 'GN', 'PN', 'WR', 'AE') then substring(s, 2) else s end as s from plain_signs),
+padded_signs as (select term, '##' || case when left(s, 1) = 'X' then 'S' || substring(s, 2) when left(s, 2) = 'WH' then 'W' || substring(s, 3) else s end || '###' as p from begun),
+places_of as (select term, p, unnest(range(3, length(p) - 2))::int as i, length(p) - 5 as n from padded_signs),
+around as (select term, i, n, p, substring(p, i, 1) as c, substring(p, i - 1, 1) as b, substring(p, i - 2, 1) as b2, substring(p, i + 1, 1) as a, substring(p, i + 2, 1) as a2 from places_of),
+said as (select term, i, case
+    when c = b and c <> 'C' then ''
+    when c in ('A', 'E', 'I', 'O', 'U') then if(i = 3, c, '')
+    when c = 'B' then if(b = 'M' and i = n + 2, '', 'B')
+    when c = 'C' and b = 'S' and a = 'H' and b2 <> 'S' then ''
+    when c = 'C' and a in ('E', 'I', 'Y') then case when a = 'I' and a2 = 'A' then 'X' when b <> 'S' then 'S' else '' end
+    when c = 'C' and a = 'H' then if(b = 'S' or i = 3 and a2 not in ('A', 'E', 'I', 'O', 'U'), 'K', 'X')
+    when c in ('C', 'Q') then 'K'
+    when c = 'D' then if(a = 'G' and a2 in ('E', 'I', 'Y'), 'J', 'T')
+    when c = 'G' and b = 'D' and b2 <> 'D' and a in ('E', 'I', 'Y') then ''
+    when c = 'G' and a = 'H' then if(a2 in ('A', 'E', 'I', 'O', 'U'), 'K', '')
+    when c = 'G' and a = 'N' and (i + 2 = n + 3 or substring(p, i + 2) = 'ED###') then ''
+    when c = 'G' then if(a in ('E', 'I', 'Y'), 'J', 'K')
+    when c = 'H' then if(a in ('A', 'E', 'I', 'O', 'U') and b not in ('C', 'G', 'P', 'S', 'T'), 'H', '')
+    when c = 'K' then if(b = 'C', '', 'K')
+    when c = 'P' then if(a = 'H', 'F', 'P')
+    when c in ('S', 'T') and a = 'I' and a2 in ('O', 'A') then 'X'
+    when c = 'S' then case when a = 'H' then 'X' when a = 'C' and a2 = 'H' then 'SK' else 'S' end
+    when c = 'T' then case when a = 'H' then '0' when a = 'C' and a2 = 'H' then '' else 'T' end
+    when c = 'V' then 'F' when c = 'X' then 'KS' when c = 'Z' then 'S'
+    when c in ('W', 'Y') then if(a in ('A', 'E', 'I', 'O', 'U'), c, '')
+    when c in ('F', 'J', 'L', 'M', 'N', 'R', ' ') then c else '' end as x from around),
+sounds as (select term, ltrim(regexp_replace(string_agg(x, '' order by i), ' +', ' ', 'g')) as code from said group by term),
+metaphones as (select * from sounds where code <> '' and term in (select term from vocabulary))"""
+
+_SAME_SOUND = f"select code, term from metaphones where code = (select code from sounds where term = {_MISSED})"
+_CORRECTED = f"""select coalesce(term, query) as term, 'spelling' as via from wrong left join (from suggested where place = 1) using (query) where query = {_MISSED} and coalesce(term, query) in (select term from vocabulary)
+    union all select term, 'soundex' from ({_SAME_CODE}) union all select term, 'metaphone' from ({_SAME_SOUND})"""
+
 _DEPTHS = """, walked(term, prio, part, depth) as (
     select term, md5(term), '', 1::bigint from vocabulary
     union all
@@ -428,6 +463,11 @@ def oracle_sql() -> dict[str, str]:
         "phonetic_index": f"{w}{_SOUNDEX} select 'soundex' as method, code, term from codes where code <> ''",
         "phonetic_match_soundex": f"{w}{_SOUNDEX} {_SAME_CODE}",
         "soundex_groups": f"""{w}{_SOUNDEX} select code as "Code", count(*) as "Terms", string_agg(term, ', ' order by term) as "Vocabulary" from codes where code <> '' group by code having count(*) > 1 order by count(*) desc, min(term) limit 30""",
+        "metaphone_groups": f"""{w}{_SOUNDEX}{_METAPHONE} select code as "Code", count(*) as "Terms", string_agg(term, ', ' order by term) as "Vocabulary" from metaphones group by code having count(*) > 1 order by count(*) desc, min(term) limit 30""",
+        "metaphone_codes": f"{w}{_SOUNDEX}{_METAPHONE} select term, code from sounds where term in (select term from vocabulary)",
+        "phonetic_match": f"{w}{_SOUNDEX}{_METAPHONE} {_SAME_CODE} union all {_SAME_SOUND}",
+        "tolerant_corrected": f"{w}{_SPELLED}{_SOUNDEX}{_METAPHONE} {_CORRECTED}",
+        "tolerant_corrected_docs": f"{w}{_SPELLED}{_SOUNDEX}{_METAPHONE} select distinct doc_id from post where term in (select term from ({_CORRECTED}))",
         "dict_depths": f"{_RECURSIVE}{_DEPTHS} select term, depth from depths",
         "dict_stats": f"""{_RECURSIVE}{_DEPTHS} select 'Vocabulary size' as "Property", size::varchar as "BST", size::varchar as "B-Tree" from shape
             union all select 'Tree height', height::varchar, 'O(log n)' from shape union all select 'Ideal log₂(n) height', round(log2(size + 1), 2)::varchar, '—' from shape
@@ -470,6 +510,8 @@ def oracle_sql() -> dict[str, str]:
         "cosine_rank": _VECTORS,
         "source_upsert": """select distinct doc_id, text from doc_collection where doc_id not in (select doc_id::varchar from documents)
             union all select doc_id::varchar, text from documents""",
+        "stored_boolean": _bool(f"{_has('query')} and {_has('index')} and not {_has('posting')}"),
+        "stored_phrase": _positional(c.PHRASES["phrase_positional"]),
         "store_parquet": f"{w} {_POSTINGS}",
         "store_json": f"{w} {_POSTINGS}",
         "stream_postings": f"{w} {_POSTINGS}",
