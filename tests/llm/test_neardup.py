@@ -160,6 +160,26 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == 100
 
 
+@pytest.mark.parametrize("share", [0, 1 / 1000, 2])
+def test_components_around_hubs(spark, monkeypatch, share):
+    monkeypatch.setattr(neardup, "HOT", share)
+    r = random.Random(6)
+    links = [(500, 1000 + i) for i in range(400)] + [(1399, 2), (7, 1000)] + [(3000 + i, 3000 + r.randrange(60)) for i in range(60)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = dict(values(neardup.components(spark.createDataFrame(links, "a long, b long"))))
+    assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_long_texts_and_blocks():
     known = {}
     h = neardup.runs(" ".join(f"w{i}" for i in range(30_000)), known)
