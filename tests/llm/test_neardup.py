@@ -222,3 +222,22 @@ def test_keys_are_shared_where_a_chunk_differs_in_one():
     b[4:6] = a[4:6]  # the second chunk differs in its first component alone
     x, y = neardup.chunk_keys(np.stack([a, b]))
     assert len(set(x.tolist()) & set(y.tolist())) == 1 and len(set(x.tolist())) == neardup.CHUNKS * neardup.WIDTH
+
+
+@pytest.mark.parametrize("size", [1, 1 << 27])
+def test_passes_do_the_whole_and_leave_little(spark, rows, monkeypatch, size):
+    import os
+
+    from termloom.session import _folder
+
+    monkeypatch.setattr(neardup, "PASS", size, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = str(_folder(spark)[0]).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    members, links = neardup.similar(df)
+    left = {x.partition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left.isdisjoint({"signed", "reps", "near", "keys", "met", "held", "crowd", "crowded", "sets"}) and {"members", "links"} <= left
+    reps = dict(values(members, "doc_id", "rep"))
+    want = {(a, b) for a, b in brute(rows) if reps[a] == a and reps[b] == b}
+    assert len(want - set(values(links, "a", "b"))) <= 0.01 * len(want) and set(values(links, "a", "b")) <= want
