@@ -41,11 +41,26 @@ def export_json(postings: DataFrame, path: str, whole: bool = False) -> None:
     lines.select(F.to_json(F.struct("term", "postings")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _entries_by_line(spark: SparkSession, path: str) -> DataFrame:
+    """term and postings of files whose lines, but for the outer braces, each hold whole entries of the one object; a line that doesn't is a row of nulls."""
+    line = F.regexp_replace(F.trim("value"), r"^\s*,\s*|\s*,\s*$", "")
+    entries = F.from_json(F.concat(F.lit("{"), line, F.lit("}")), "map<string,string>")
+    inner = spark.read.text(path).where(~F.trim("value").isin("{", "}", "{}", ""))
+    return inner.select(F.explode_outer(entries).alias("term", "postings"))
+
+
 def import_json(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """term, doc_id and tf (null for lists) of exported lines, or of files that are one object of terms each (``whole``)."""
+    """term, doc_id and tf (null for lists) of exported lines, or of files that are one object of terms each (``whole``).
+
+    One object is read by lines, in as many tasks as the file has splits, if each of its
+    lines holds whole entries, as ``export_json`` writes them. An object laid out otherwise
+    (indented, or all in one line) is taken in one piece.
+    """
     if whole:
-        text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-        rows = text.select(F.explode("m").alias("term", "postings"))
+        rows = _entries_by_line(spark, path)
+        if not rows.where("term is null").isEmpty():
+            text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+            rows = text.select(F.explode("m").alias("term", "postings"))
     else:
         rows = spark.read.text(path).select(F.get_json_object("value", "$.term").alias("term"), F.get_json_object("value", "$.postings").alias("postings"))
     maps = F.transform(F.map_entries(F.from_json("postings", "map<string,bigint>")), lambda e: F.struct(e["key"].alias("doc_id"), e["value"].alias("tf")))

@@ -56,6 +56,21 @@ def test_index_as_one_object(spark, tmp_path):
     assert json.loads(part.read_text()) == {}
 
 
+def test_an_object_is_read_by_its_lines(spark, tmp_path):
+    """What is written an entry a line is never one row; what is laid out otherwise is read all the same."""
+    rows = [(f't{k} "x, {{"', f"d{i}", k + i + 1) for k in range(40) for i in range(5)]
+    index_store.export_json(spark.createDataFrame(rows, "term string, doc_id string, tf long"), str(tmp_path / "o"), whole=True)
+    got = index_store.import_json(spark, str(tmp_path / "o"), whole=True)
+    assert values(got) == sorted(rows, key=repr) and "wholetext" not in got._jdf.queryExecution().toString().lower()
+    assert index_store._entries_by_line(spark, str(tmp_path / "o")).count() == 40
+    made = {"a": {"d1": 2, "d2": 1}, "b": ["d1", "d,2"], "c": {}}
+    want = [("a", "d1", 2), ("a", "d2", 1), ("b", "d,2", None), ("b", "d1", None)]
+    layouts = [json.dumps(made), json.dumps(made, indent=1), json.dumps(made, separators=(",\n", ":")), "{\n" + ",\n".join(f"{json.dumps(k)}: {json.dumps(v)}" for k, v in made.items()) + "\n}", '{"a":\n{"d1":2,\n"d2":1},"b":["d1","d,2"]}']
+    for k, text in enumerate(layouts):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert values(index_store.import_json(spark, str(tmp_path / f"{k}.json"), whole=True)) == want, text
+
+
 def test_streamed_windows(spark, tmp_path):
     import datetime as dt
 
