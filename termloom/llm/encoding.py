@@ -8,8 +8,9 @@ of; where UTF-8 was misread more often than the chain says, further strict steps
 follow until it does. A document's words vote for its chain. Chains are undone one
 after another until none is left.
 
-Training takes a bounded sample (SAMPLE_DOCS documents, MAX_WORDS distinct words);
-detection and repair take every document, whole.
+Training takes every word of every document, with its count over the collection;
+what comes to the driver is a matrix of fixed size (classes by BUCKETS). Detection
+and repair take every document, whole.
 
 Defined cases: null text is no case and stays null; empty or ASCII text is no
 case and is unchanged; U+FFFD is a case that can't be restored; a text is complete
@@ -23,20 +24,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import dropped, in_passes, spread
 
-#: Bound of the training sample: documents and distinct words with other than ASCII characters.
-SAMPLE_DOCS, MAX_WORDS = 4000, 30_000
+#: Words garbled in one go while training.
+GO = 20_000
 #: Buckets that byte bigrams are hashed to.
 BUCKETS = 1 << 16
 #: Additive smoothing of the bigram counts.
@@ -51,7 +53,7 @@ VOTE, UTF8_VOTE = 4.0, 1.0
 LATIN_DOUBT = 4.0
 #: Votes that a question mark between letters gives to every chain with a vote.
 LOST_VOTE = 4.0
-#: Models kept by the digest of their sample, so that queries over the same documents train once.
+#: Models kept by the digest of their words, so that queries over the same documents train once.
 KEPT_MODELS = 4
 
 #: Encodings that UTF-8 bytes are often misread in.
@@ -320,27 +322,25 @@ def _bytes(word: str) -> bytes:
     return b"\x02" + word.encode("utf-8", "replace") + b"\x03"
 
 
-@dataclass
-class Model:
-    """Log probabilities of bigrams by class: first untouched words by KINDS, then the chains."""
-
-    logp: np.ndarray
-
-    @staticmethod
-    def train(words: dict[str, int]) -> "Model":
-        """From clean words with their counts: each is garbled by every chain that can be."""
-        counts = np.zeros((len(KINDS) + len(CHAINS), BUCKETS))
-
-        def add(k: int, made: list[str], weights: np.ndarray) -> None:
-            if made:
-                data = b"\x02" + "\n".join(made).encode("utf-8", "replace").replace(b"\n", b"\x03\x02") + b"\x03"
-                keys, high = _bigrams(data)
-                of_byte = weights[np.cumsum(np.frombuffer(data, np.uint8) == 2) - 1]
-                counts[k] += np.bincount(keys, of_byte[:-1][high], BUCKETS)
-
-        # frequent words count less than in proportion, else a few names would rule
-        plain = {w: n**0.5 for w, n in words.items() if not _MARKS.search(w)}
-        plain |= {u: plain.get(u, 0) + 0.1 * n for w, n in list(plain.items()) if (u := w.upper()) != w}
+def training_counts(words: Iterable[tuple[str, float]]) -> np.ndarray:
+    """Weights of bigrams by class that clean words with their counts give; those of parts of the words add up to those of all."""
+    counts = np.zeros((len(KINDS) + len(CHAINS), BUCKETS))
+
+    def add(k: int, made: list[str], weights: np.ndarray) -> None:
+        if made:
+            data = b"\x02" + "\n".join(made).encode("utf-8", "replace").replace(b"\n", b"\x03\x02") + b"\x03"
+            keys, high = _bigrams(data)
+            of_byte = weights[np.cumsum(np.frombuffer(data, np.uint8) == 2) - 1]
+            counts[k] += np.bincount(keys, of_byte[:-1][high], BUCKETS)
+
+    def learn(part: list[tuple[str, float]]) -> None:
+        # frequent words count less than in proportion, else a few names would rule; each counts a tenth in capitals too
+        plain: Counter[str] = Counter()
+        for w, n in part:
+            if not _MARKS.search(w):
+                plain[w] += n**0.5
+                if (u := w.upper()) != w:
+                    plain[u] += 0.1 * n**0.5
         for k, kind in enumerate(KINDS):
             of_kind = [w for w in plain if kind(w)]
             add(k, of_kind, np.array([plain[w] for w in of_kind]))
@@ -349,9 +349,33 @@ class Model:
             fit = writable[chain[0][0]]
             pairs = [(g, w) for g, w in zip(garble("\n".join(fit), chain).split("\n"), fit) if g != w] if fit else []
             add(k, [g for g, _ in pairs], np.array([plain[w] for _, w in pairs]))
-        counts += SMOOTH
+
+    part: list[tuple[str, float]] = []
+    for word in words:
+        part.append(word)
+        if len(part) == GO:
+            learn(part)
+            part = []
+    learn(part)
+    return counts
+
+
+@dataclass
+class Model:
+    """Log probabilities of bigrams by class: first untouched words by KINDS, then the chains."""
+
+    logp: np.ndarray
+
+    @staticmethod
+    def of_counts(counts: np.ndarray) -> "Model":
+        counts = counts + SMOOTH
         return Model(np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
+    @staticmethod
+    def train(words: dict[str, int]) -> "Model":
+        """From clean words with their counts: each is garbled by every chain that can be."""
+        return Model.of_counts(training_counts([(w, n) for w, n in words.items()]))
+
     def odds(self, word: str) -> np.ndarray:
         """Log odds of each chain against untouched text, without regard to decodability."""
         s = self.logp[:, _bigrams(_bytes(word))[0]].sum(1)
@@ -462,42 +486,101 @@ def suspicious(word: str) -> bool:
     return _TWO.search(word) is not None and any(chain[0][0] == "utf-8" and invert(word, chain) is not None for chain in CHAINS)
 
 
-def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """Train on the words of a bounded sample of documents, chosen by a hash of doc_id.
+def _gathered(words: DataFrame, trained: Callable[[], Callable[[str], bool]]) -> np.ndarray:
+    """``training_counts`` of a stored table of words (w, count) that what ``trained`` makes in each task holds to be clean: sums of fixed size from few tasks."""
+    classes = len(KINDS) + len(CHAINS)
+    tasks = 2 * words.sparkSession.sparkContext.defaultParallelism
+    if words.rdd.getNumPartitions() > tasks:
+        words = words.coalesce(tasks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean = trained()
+        m = training_counts((w, n) for batch in batches for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if clean(w))
+        used = np.flatnonzero(m.any(0))
+        for at in range(0, len(used), 4096):
+            rows = used[at : at + 4096]
+            sums = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m[:, rows].T).ravel()), classes).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), sums], ["bucket", "sums"])
+
+    summed = words.mapInArrow(run, "bucket int, sums array<double>").groupBy("bucket").agg(*(F.sum(F.col("sums")[k]).alias(f"c{k}") for k in range(classes)))
+    found = summed.toPandas()
+    out = np.zeros((classes, BUCKETS))
+    out[:, found["bucket"].to_numpy(int)] = found.drop(columns="bucket").to_numpy(float).T
+    return out
+
+
+_models: dict[object, Model] = {}
+
+
+def _kept(key: object, train: Callable[[], Model]) -> Model:
+    """The model of a digest, trained once a process."""
+    if key not in _models:
+        made = train()
+        while len(_models) >= KEPT_MODELS:
+            _models.pop(next(iter(_models)))
+        _models[key] = made
+    return _models[key]
+
+
+def _is_kept(w: str, judge: "Judge") -> bool:
+    return _symbols(w) or max((o for _, o in judge.word(w)), default=0) < WORD_ODDS
+
+
+def fit(documents: DataFrame) -> Model:
+    """Train on all words of all documents that aren't all ASCII.
 
     Two passes: words that the first model holds to be garbled leave the second
-    one's training set. An empty sample gives a model that finds nothing.
+    one's training set. A collection without such words gives a model that finds nothing.
     """
-    sample = (
-        documents.select("doc_id", "text")
+    words = (
+        documents.select("text")
         .where(F.col("text").rlike(r"[^\x00-\x7f]"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_docs)
         .select(F.explode(F.split("text", r"[ \t\r\n\x0b\f]+")).alias("w"))
         .where(F.col("w").rlike(r"[^\x00-\x7f]"))
         .groupBy("w")
         .count()
-        .orderBy(F.desc("count"), F.xxhash64("w"))
-        .limit(max_words)
     )
-    words = {r[0]: r[1] for r in sample.collect()}
-    return fit_words(words)
+    words = in_passes([words], "words")
+    # sums of hashes of all words with their counts, exact and in any order, tell the collection
+    digest = words.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(k), "w", "count").cast("decimal(38,0)")) for k in range(2))).first()
+    context = documents.sparkSession.sparkContext
+
+    def train() -> Model:
+        spread_words = in_passes([words.repartition(2 * context.defaultParallelism).where(_pure("w"))], "clean")
+        first = context.broadcast(Model.of_counts(_gathered(spread_words, lambda: lambda w: True)))
+
+        def second() -> Callable[[str], bool]:
+            judge = Judge(first.value)
+            return lambda w: _is_kept(w, judge)
+
+        model = Model.of_counts(_gathered(spread_words, second))
+        dropped(spread_words)
+        return model
+
+    model = _kept(tuple(digest), train)
+    dropped(words)
+    return model
+
 
+def _pure(column: str):
+    """Whether a word isn't ``suspicious``."""
 
-_models: dict[str, Model] = {}
+    @F.pandas_udf("boolean")
+    def pure(words: pd.Series) -> pd.Series:
+        return ~words.map(suspicious).astype(bool)
+
+    return pure(column)
 
 
 def fit_words(words: dict[str, int]) -> Model:
     """The model of clean words found in ``words``; kept, so that the same words are trained on once a process."""
-    digest = xxhash.xxh3_128_hexdigest("\n".join(f"{w}\t{n}" for w, n in sorted(words.items())))
-    if digest not in _models:
+
+    def train() -> Model:
         clean = {w: n for w, n in words.items() if not suspicious(w)}
         judge = Judge(Model.train(clean))
-        kept = {w: n for w, n in clean.items() if _symbols(w) or max((o for _, o in judge.word(w)), default=0) < WORD_ODDS}
-        while len(_models) >= KEPT_MODELS:
-            _models.pop(next(iter(_models)))
-        _models[digest] = Model.train(kept)
-    return _models[digest]
+        return Model.train({w: n for w, n in clean.items() if _is_kept(w, judge)})
+
+    return _kept(xxhash.xxh3_128_hexdigest("\n".join(f"{w}\t{n}" for w, n in sorted(words.items()))), train)
 
 
 _OUT = "doc_id bigint, garbled boolean, chain string, restored string, complete boolean"

@@ -130,3 +130,22 @@ def test_high_words_are_the_pattern_s():
 def test_training_is_kept():
     words = {"Größe": 3, "für": 2}
     assert encoding.fit_words(words) is encoding.fit_words(dict(reversed(words.items())))
+
+
+def test_all_words_of_all_documents_are_trained_on(spark, monkeypatch):
+    import numpy as np
+
+    words = [f"{a}ü{b}ñ{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghijklmnopqrst"]
+    rows = [(i, " ".join(words[(i * 7 + k) % len(words)] for k in range(3)) + "  plain") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(encoding, "_models", {})
+    seen: dict[str, int] = {}
+    for _, t in rows:
+        for w in encoding.high_words(t):
+            seen[w] = seen.get(w, 0) + 1
+    assert len(rows) > 4000 and len(seen) == len(words)
+    whole = encoding.fit_words(seen)
+    assert np.allclose(encoding.fit(df).logp, whole.logp, atol=1e-4)
+    assert encoding.fit(df.orderBy("text")) is encoding.fit(df)
+    monkeypatch.setattr(encoding, "GO", 77)
+    assert np.allclose(encoding.Model.train(seen).logp, encoding.Model.train(dict(reversed(seen.items()))).logp, atol=1e-4)
