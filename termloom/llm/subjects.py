@@ -10,7 +10,7 @@ subjects don't differ significantly from their language's (G statistic) have no
 say. The share of a document's text that goes to a subject is calibrated, one curve a
 subject with floor and ceiling for wrong and lacking labels, against the labels of
 documents whose labels were kept out of the counts (one in HELD_OUT, by a hash of
-doc_id).
+doc_id); then the counts are made once more, with all labels.
 
 Counts, languages, expectation steps and calibration cover all documents and all
 labels. What is gathered on the driver are matrices of a fixed size.
@@ -49,7 +49,7 @@ SMOOTH, UNLABELLED = 0.3, 1.0
 SIGNIFICANT, SETTLED = (3.0, 6.0, 10.0, 12.0, 12.0, 12.0), 0.01
 #: How far the labels of a document are trusted over its own text, and the least posterior of a sentence to be learnt from.
 TRUST, SURE = 0.7, 0.8
-#: One in so many labelled documents lends its labels to the calibration only.
+#: One in so many labelled documents lends its labels to the calibration before they are counted.
 HELD_OUT = 5
 #: Least calibrated posterior of a second subject.
 POSTERIOR = 0.5
@@ -108,7 +108,7 @@ def _odds(share):
 class Batch:
     """Arrays of a batch of featured documents, flat by word, sentence and document."""
 
-    def __init__(self, batch: pa.RecordBatch, n_subjects: int):
+    def __init__(self, batch: pa.RecordBatch, n_subjects: int, with_held: bool = False):
         col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         flat = lambda a: (a.flatten().to_numpy(zero_copy_only=False), np.diff(a.offsets.to_numpy()))
         self.ids, self.lang = col["doc_id"], col["lang"].to_pylist()
@@ -123,7 +123,7 @@ class Batch:
         self.sentence_words = ends - begin
         self.labels = np.zeros((self.n, n_subjects))
         for k, (own, held) in enumerate(zip(col["labels"].to_pylist(), col["held"].to_pylist())):
-            if own and not held:
+            if own and (with_held or not held):
                 self.labels[k, own] = 1
         self.labelled = self.labels.any(1)
 
@@ -280,13 +280,14 @@ def fit(table: DataFrame, n_subjects: int) -> Subjects | None:
     size = n_languages * BUCKETS
     context = table.sparkSession.sparkContext
     before = None
-    for turn, significant in enumerate(SIGNIFICANT):
+
+    def counted(some: DataFrame, with_held: bool) -> np.ndarray:
         shared = context.broadcast(model)
 
         def expected(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             m, now = np.zeros((size, n_subjects)), shared.value
             for batch in batches:
-                b = Batch(batch, n_subjects)
+                b = Batch(batch, n_subjects, with_held)
                 if now.weights is None:
                     rows, p = b.words + np.repeat(now.language(b), b.doc_words) * BUCKETS, _from_labels(b)
                 else:
@@ -297,8 +298,15 @@ def fit(table: DataFrame, n_subjects: int) -> Subjects | None:
                     m[:, c] += np.bincount(rows, of_word[:, c], size)
             return m
 
+        return gathered(some, expected, size, n_subjects)
+
+    with_held = False
+    for turn, significant in enumerate(SIGNIFICANT):
         # labels alone are in few documents: only those are read
-        counts = gathered(table.where("labels is not null and not held") if turn == 0 else table, expected, size, n_subjects)
+        counts = counted(table.where("labels is not null and not held") if turn == 0 else table, with_held)
+        if turn == 0 and not counts.any():  # all labels there are were to be kept out
+            with_held = True
+            counts = counted(table.where("labels is not null"), with_held)
         if not counts.any():
             return None
         model.learn(counts, significant)
@@ -306,6 +314,10 @@ def fit(table: DataFrame, n_subjects: int) -> Subjects | None:
             break
         before = counts
     model.curves = _curves(table, model)
+    if not with_held:
+        counts = counted(table, True)
+        if counts.any():
+            model.learn(counts, SIGNIFICANT[-1])
     return model
 
 

@@ -114,3 +114,10 @@ def test_sums_of_sentences(spark, frames):
     at = np.repeat(np.arange(len(b.sentence_words)), b.sentence_words)
     want = np.stack([np.bincount(at, values[:, k], len(b.sentence_words)) for k in range(2)], 1)
     assert np.allclose(b.by_sentence(values), want)
+
+
+def test_no_label_is_left_out_of_the_counts(spark, frames):
+    docs, labels, areas, _ = frames
+    held = [r.doc_id for r in subjects.features(docs, labels, ["law", "search", "sport"]).where("held").select("doc_id").collect()]
+    # where all labels are kept out for the calibration, they still count
+    assert subjects.classified(docs, labels.where(labels.doc_id.isin(held)), areas).select("doc_id").distinct().count() == 701
